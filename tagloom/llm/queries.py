@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, licenses, tokencount
+from tagloom.llm import bpe, exactdedup, licenses, mixing, simhash, tokencount
 from tagloom.llm.common import table
 
 #: Vocabulary files and the pattern that splits texts; any others can be given to the operators.
@@ -33,5 +33,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > COUNT_LIMIT).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_license_scan, op4_token_counts)}
-ORACLES: dict[str, str] = {}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_license_scan, op4_token_counts, op5_exact_dedup, op8_simhash_near_dedup, op9_source_mix)}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+        g AS (SELECT doc_id, t, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS place
+              FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS FIRST))
+        SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM g
+    """.replace("\\", "\"),
+}
