@@ -55,5 +55,5 @@ ORACLES: dict[str, str] = {
         g AS (SELECT doc_id, t, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS place
               FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS FIRST))
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM g
-    """.replace("\\", "\"),
+    """,
 }
