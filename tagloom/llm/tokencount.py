@@ -26,7 +26,9 @@ from tagloom.llm.common import with_struct
 #: Characters of a chunk, and of the overlap of two chunks before it is widened.
 CHUNK, OVERLAP = 1 << 16, 1 << 8
 #: Runs remembered in each of a worker's two cache generations, and the longest run (in characters) that is remembered.
-CACHE_RUNS, CACHE_LENGTH = 250_000, 48
+CACHE_RUNS, CACHE_LENGTH = 200_000, 48
+#: Characters of short texts that are split into runs at a time, and unknown runs given to the library at a time.
+STEP, ASK = 1 << 20, 1 << 11
 #: White space at which every supported tokeniser separates; a subset of what they drop, so that the proof holds.
 RUN = re.compile(r"[^ \t\n\r]+")
 SPACES = " \t\n\r"
@@ -44,58 +46,62 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def learn(self, runs: set[str]) -> dict[str, tuple]:
-        """Token starts of runs, in characters from the run's start, for those that are not yet known."""
-        got = {}
+    def learn(self, runs: set[str]) -> dict[str, bytes | tuple[int, ...]]:
+        """Token starts of runs, in characters from the run's start; of a run that is remembered they fit bytes."""
+        got: dict[str, bytes | tuple[int, ...]] = {}
+        unknown = []
         for run in runs:
-            if (known := self.young.get(run)) is None and (known := self.old.get(run)) is not None:
-                self.remember(run, known)
+            known = self.young.get(run)
             if known is None:
-                got[run] = ()
-            else:
-                got[run] = known
-        unknown = [run for run, known in got.items() if known == ()]
-        for run, encoding in zip(unknown, self.library.encode_batch(unknown, add_special_tokens=False)):
-            got[run] = tuple(start for start, _ in encoding.offsets) or (None,)
-            self.remember(run, got[run])
+                known = self.old.get(run)
+                if known is None:
+                    unknown.append(run)
+                    continue
+                self.remember(run, known)
+            got[run] = known
+        for low in range(0, len(unknown), ASK):
+            asked = unknown[low : low + ASK]
+            for run, encoding in zip(asked, self.library.encode_batch(asked, add_special_tokens=False)):
+                starts = tuple(start for start, _ in encoding.offsets)
+                if len(run) <= CACHE_LENGTH:
+                    self.remember(run, starts := bytes(starts))
+                got[run] = starts
         return got
 
-    def remember(self, run: str, starts: tuple) -> None:
-        if len(run) <= CACHE_LENGTH:
-            if len(self.young) >= CACHE_RUNS:
-                self.old, self.young = self.young, {}
-            self.young[run] = starts
+    def remember(self, run: str, starts: bytes) -> None:
+        if len(self.young) >= CACHE_RUNS:
+            self.old, self.young = self.young, {}
+        self.young[run] = starts
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Tokens of texts of one chunk each."""
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        young = self.young
-        new: set[str] = set()
-        for runs in split:
-            new.update(run for run in runs if run not in young)
-        new.discard("")
-        sizes = {run: 0 if starts == (None,) else len(starts) for run, starts in self.learn(new).items()}
-        out = []
-        for runs in split:
-            n = 0
-            for run in runs:
-                if run:
-                    size = sizes.get(run)
-                    if size is None:
-                        starts = young[run]
-                        size = sizes[run] = 0 if starts == (None,) else len(starts)
-                    n += size
-            out.append(n)
+        out: list[int] = []
+        low = 0
+        while low < len(texts):
+            high, held = low, 0
+            while high < len(texts) and held < STEP:
+                held += len(texts[high])
+                high += 1
+            out += self._count(texts[low:high])
+            low = high
         return out
 
+    def _count(self, texts: list[str]) -> list[int]:
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        runs = set().union(*split)
+        runs.discard("")
+        size = {run: len(starts) for run, starts in self.learn(runs).items()}
+        size[""] = 0
+        return [sum(map(size.__getitem__, runs)) for runs in split]
+
     def starts(self, chunk: str, base: int) -> list[int]:
         """Token starts in a chunk that begins at character base of its text, in order."""
         found = [(m.start() + base, m.group()) for m in RUN.finditer(chunk)]
         known = self.learn({run for _, run in found})
-        return [at + s for at, run in found for s in known[run] if s is not None]
+        return [at + s for at, run in found for s in known[run]]
 
 
 def splice(text: str, left: list[int], right: list[int], low: int, high: int) -> int | None:
