@@ -59,6 +59,31 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; with its doc_id it tells rows apart, but for rows equal throughout."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, repeats: bool = False) -> DataFrame:
+    """The rows of docs whose (doc_id, row_hash) stand in the written table kept; columns as they were.
+
+    Whole rows are shuffled once, by their own id, which spreads evenly. repeats: some rows are equal throughout, and of
+    those only one is to stay.
+    """
+    names = docs.columns
+    out = docs.withColumn("_hash", row_hash(docs))
+    ids = kept.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_kept"))
+    out = out.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    if repeats:
+        out = out.groupBy("doc_id", "_hash").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_row")).select("_row.*")
+    return out.select(*[F.col(f"`{c}`") for c in names])
+
+
+def has_repeats(decided: DataFrame) -> bool:
+    """Whether rows of a written table agree in doc_id and row_hash."""
+    return decided.groupBy("doc_id", "row_hash").count().filter("count > 1").limit(1).count() > 0
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """rows with the columns of their group. groups has one row a key, and in `size` the number of rows with that key.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import join_groups, shared_path, written
+from tagloom.llm.common import has_repeats, join_groups, keep_rows, row_hash, shared_path, written
 
 #: White space that does not count.
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,10 +34,11 @@ def squeezed(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (distinct for each row of this result once it is written), n_chars and digest of each row."""
+    """doc_id, row (distinct for each row of this result once it is written), row_hash, n_chars and digest of each row."""
     return docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
+        row_hash(docs).alias("row_hash"),
         F.coalesce(F.length(f"`{text}`"), F.lit(0)).alias("n_chars"),
         F.unhex(F.sha2(squeezed(F.col(f"`{text}`")), 256)).alias("digest"),
     )
@@ -70,7 +71,7 @@ class DigestIndex:
 
 
 def deduplicate(batch: DataFrame, index: DigestIndex, batch_id: str) -> DataFrame:
-    """The batch's rows (doc_id, row, n_chars, digest) with keep_id, group_size and kept, after index.add gave batch_id.
+    """The batch's rows (doc_id, row, row_hash, n_chars, digest) with keep_id, group_size and kept, after index.add gave batch_id.
 
     group_size counts this batch's rows of a digest that came with it, and for older digests the rows they came with.
     """
@@ -80,30 +81,13 @@ def deduplicate(batch: DataFrame, index: DigestIndex, batch_id: str) -> DataFram
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, row, n_chars, digest, keep_id, group_size, kept. Adds the documents to the index."""
+    """One row a document: doc_id, row, row_hash, n_chars, digest, keep_id, group_size, kept. Adds the documents to the index."""
     index = index or DigestIndex(docs.sparkSession)
     batch = written(digests(docs, doc_id, text), "digests")
     return deduplicate(batch, index, index.add(batch))
 
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """docs without the rows that are copies of one that stays; columns as they were.
-
-    Texts are shuffled once, by doc_id, to meet the ids that stay. Where a doc_id comes more than once with the same text,
-    the whole rows are also grouped by doc_id and digest; that step is planned only if there are such rows.
-    """
+    """docs without the rows that are copies of one that stays; columns as they were."""
     decided = written(exact_duplicates(docs, index), "exact-decided")
-    ids = decided.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_digest"))
-
-    def repeats(*keys: str) -> bool:
-        return decided.groupBy(*keys).count().filter("count > 1").limit(1).count() > 0
-
-    more = repeats("doc_id")
-    if not more:
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    with_digest = docs.withColumn("_own", F.unhex(F.sha2(squeezed(F.col("text")), 256)))
-    out = with_digest.join(ids, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    if repeats("doc_id", "digest"):
-        longest = F.max_by(F.struct(*docs.columns), F.length("text"))
-        out = out.groupBy("doc_id", "_own").agg(longest.alias("_r")).select("_r.*")
-    return out.select(*docs.columns)
+    return keep_rows(docs, decided.filter("kept"), has_repeats(decided))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, exactdedup, licenses, mixing, simhash, tokencount
+from tagloom.llm import bpe, exactdedup, licenses, mixing, quality, simhash, tokencount
 from tagloom.llm.common import table
 
 #: Vocabulary files and the pattern that splits texts; any others can be given to the operators.
@@ -38,6 +38,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -48,7 +53,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_license_scan, op4_token_counts, op5_exact_dedup, op8_simhash_near_dedup, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_license_scan, op4_token_counts, op5_exact_dedup, op7_quality_rules, op8_simhash_near_dedup, op9_source_mix)}
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),

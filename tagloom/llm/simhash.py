@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import join_groups, written
+from tagloom.llm.common import has_repeats, join_groups, keep_rows, row_hash, written
 
 #: Bits that may differ, words of a shingle, and how many blocks the bits are cut into.
 BITS, SHINGLE, BLOCKS = 2, 3, 6
@@ -251,26 +251,19 @@ def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def prints_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), fingerprints(F.col("text"), shingle).alias("code")), "fingerprints")
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), row_hash(docs).alias("row_hash")]
+    return written(docs.select(*ids, fingerprints(F.col("text"), shingle).alias("code")), "fingerprints")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row a document: doc_id, row, fingerprint (16 hex digits), component_id, kept (one row of a component is)."""
+    """One row a document: doc_id, row, row_hash, fingerprint (16 hex digits), component_id, kept (one row of a component is)."""
     prints = prints_of(docs, shingle)
     out = join_groups(prints, written(classes(prints, bits), "classes"), ["code"], "n")
-    return out.select("doc_id", "row", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("keep_row")).alias("kept"))
+    digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
+    return out.select("doc_id", "row", "row_hash", digits.alias("fingerprint"), "component_id", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with one row of each component; columns as they were. Texts are shuffled once, by doc_id.
-
-    Where a doc_id comes more than once, fingerprints are taken anew to tell its rows apart; rows equal in both count as one.
-    """
+    """docs with one row of each component; columns as they were."""
     decided = written(near_duplicates(docs, bits), "near-decided")
-    ids = decided.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("fingerprint").alias("_print"))
-    on = F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    if decided.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0:
-        return docs.join(ids, on, "left_semi")
-    own = docs.withColumn("_own", F.lower(F.lpad(F.hex(fingerprints(F.col("text"))), 16, "0")))
-    out = own.join(ids, on & (F.col("_own") == F.col("_print")), "left_semi")
-    return out.groupBy("doc_id", "_own").agg(F.first(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+    return keep_rows(docs, decided.filter("kept"), has_repeats(decided))
