@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, exactdedup, licenses, mixing, quality, simhash, tokencount
+from tagloom.llm import bpe, exactdedup, language, licenses, mixing, quality, simhash, tokencount, toxicity
 from tagloom.llm.common import table
 
 #: Vocabulary files and the pattern that splits texts; any others can be given to the operators.
@@ -22,6 +22,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", bpe.sha256("token_ids").alias("ids_sha256"), bpe.sha256("decoded").alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = toxicity.held_out()
+    weights = toxicity.train(docs.filter(~out), labels.filter(~out))
+    return toxicity.score(docs, weights).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "places", "expressions")
 
@@ -53,7 +60,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_license_scan, op4_token_counts, op5_exact_dedup, op7_quality_rules, op8_simhash_near_dedup, op9_source_mix)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out()
+    model = language.train(docs.filter(~out))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_license_scan, op4_token_counts, op5_exact_dedup, op7_quality_rules, op8_simhash_near_dedup, op9_source_mix, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
