@@ -71,11 +71,11 @@ def keep_rows(docs: DataFrame, kept: DataFrame, repeats: bool = False) -> DataFr
     those only one is to stay.
     """
     names = docs.columns
-    out = docs.withColumn("_hash", row_hash(docs))
+    out = docs.withColumn("_tagloom_hash", row_hash(docs))
     ids = kept.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_kept"))
-    out = out.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    out = out.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tagloom_hash") == F.col("_kept")), "left_semi")
     if repeats:
-        out = out.groupBy("doc_id", "_hash").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_row")).select("_row.*")
+        out = out.groupBy("doc_id", "_tagloom_hash").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_row")).select("_row.*")
     return out.select(*[F.col(f"`{c}`") for c in names])
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import written
+from tagloom.llm.common import row_hash, written
 
 #: Words of a block; slots of a chunk and chunks of a source's shuffled order; cells of the grid for each source, and at least.
 BLOCK, SLOTS, CHUNKS, CELLS, LEAST_CELLS = 128, 1 << 14, 1 << 10, 8, 1 << 10
@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size -> with begin: the words of the source before the document, in shuffled order."""
+    """doc_id, source, size (and others) -> with begin: the words of the source before the document, in shuffled order."""
     h = F.xxhash64(F.col("doc_id"), F.lit("mix"))
     d = docs.withColumn("h", h).withColumn("chunk", F.shiftright("h", 54))  # sorted by h, the chunks are so too
     within = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,8 +102,9 @@ def block_takes(slots: DataFrame, plan: DataFrame, block: int = BLOCK, most: flo
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target (its source's), taken."""
-    sized = written(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), "mix-sizes")
+    """One row a document: doc_id, row_hash, source, size, source_size, target (its source's), taken."""
+    ids = [F.col(f"`{doc_id}`").alias("doc_id"), row_hash(docs).alias("row_hash"), F.col(f"`{source}`").alias("source")]
+    sized = written(docs.select(*ids, word_count(F.col(f"`{text}`")).alias("size")), "mix-sizes")
     plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     placed = written(laid_out(sized.filter("size > 0")), "mix-layout")
     takes = block_takes(schedule(plan, block), plan, block, most)
@@ -111,12 +112,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     pieces = placed.select("source", "begin", "size", F.explode(F.sequence(first, last)).alias("block"))
     words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
     pieces = pieces.withColumn("words", words)
-    renamed = takes.withColumnRenamed("source", "_s").withColumnRenamed("block", "_b")
-    taken = pieces.join(renamed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "inner")
+    takes = takes.withColumnsRenamed({"source": "_s", "block": "_b"})
+    taken = pieces.join(takes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "inner")
     taken = taken.groupBy("source", "begin").agg(F.sum(F.col("words") * F.col("takes")).alias("taken"))
-    taken = taken.withColumnRenamed("source", "_s").withColumnRenamed("begin", "_b")
-    full = placed.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("begin") == F.col("_b")), "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = sized.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    taken = taken.withColumnsRenamed({"source": "_s", "begin": "_b"})
+    names = ["doc_id", "row_hash", "source", "size"]
+    full = placed.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("begin") == F.col("_b")), "left").select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = sized.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
     known = plan.withColumnRenamed("source", "_s")
     out = full.unionByName(none).join(known, F.col("source").eqNullSafe(F.col("_s")), "inner")
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.select(*names, "source_size", "target", "taken")
+
+
+def repeat_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs as the mix takes them: each row taken / size times, rounded half up; columns as they were.
+
+    Blocks are taken in the order of the layout, so only the documents at a source's last block are taken in part. Of rows
+    that are equal throughout, each comes as often as their mean.
+    """
+    mixed = mix(docs, block=block).filter("size > 0").groupBy("doc_id", "row_hash").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = written(mixed.select("doc_id", "row_hash", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0"), "mix-times")
+    keyed = docs.withColumn("_tagloom_hash", row_hash(docs))
+    ids = times.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), F.col("times").alias("_times"))
+    out = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tagloom_hash") == F.col("_row")), "inner")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, exactdedup, language, licenses, mixing, quality, simhash, tokencount, toxicity
+from tagloom.llm import bpe, exactdedup, language, licenses, mixing, pseudonyms, quality, simhash, tokencount, toxicity
 from tagloom.llm.common import table
 
 #: Vocabulary files and the pattern that splits texts; any others can be given to the operators.
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_FILE = "word_bpe_49k.json"
 COUNT_LIMIT = 2048
+#: A production run gives its own secret.
+PSEUDONYM_KEY = "example key, not a secret"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +48,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY).select("doc_id", "text", "n_pseudonyms")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_license_scan, op4_token_counts, op5_exact_dedup, op7_quality_rules, op8_simhash_near_dedup, op9_source_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_pseudonyms, op7_quality_rules, op8_simhash_near_dedup, op9_source_mix, op10_language_id)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
