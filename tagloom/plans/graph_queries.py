@@ -119,10 +119,10 @@ ORACLES = {
         best AS (SELECT rs.node, rs.seed FROM rs JOIN roots ON rs.seed = roots.node QUALIFY row_number() OVER (PARTITION BY rs.node ORDER BY explains DESC, rs.seed) = 1)
         SELECT act.node, roots.node IS NOT NULL OR best.seed IS NULL AS is_root, CASE WHEN roots.node IS NOT NULL OR best.seed IS NULL THEN act.node ELSE best.seed END AS root, coalesce(explains, 0) AS explains
         FROM act LEFT JOIN roots ON roots.node = act.node LEFT JOIN best ON best.node = act.node""",
-    "candidate_brief": f"""WITH RECURSIVE {_WITHIN}, tt AS (SELECT l_partkey AS node, CAST(epoch(min(l_shipdate)) AS DOUBLE) AS t FROM lineitem GROUP BY l_partkey), at AS (SELECT act.node, t FROM act JOIN tt USING (node)),
-        fr AS (SELECT src AS seed, dst AS node FROM flow WHERE src IN (SELECT node FROM at) UNION SELECT fr.seed, f.dst FROM fr JOIN flow f ON fr.node = f.src),
-        ex AS (SELECT at.node, at.t, count(f.node) AS explains FROM at LEFT JOIN (SELECT seed, node FROM fr WHERE node IN (SELECT node FROM at) AND seed <> node) f ON f.seed = at.node GROUP BY ALL),
-        scc AS (SELECT at.node, least(at.node, coalesce(min(m.node), at.node)) AS scc FROM at LEFT JOIN (SELECT a.seed, a.node FROM rs a JOIN rs b ON a.seed = b.node AND a.node = b.seed) m ON m.seed = at.node GROUP BY at.node),
+    "candidate_brief": f"""WITH RECURSIVE {_WITHIN}, tt AS (SELECT l_partkey AS node, CAST(epoch(min(l_shipdate)) AS DOUBLE) AS t FROM lineitem GROUP BY l_partkey), aa AS (SELECT act.node, t FROM act JOIN tt USING (node)),
+        fr AS (SELECT src AS seed, dst AS node FROM flow WHERE src IN (SELECT node FROM aa) UNION SELECT fr.seed, f.dst FROM fr JOIN flow f ON fr.node = f.src),
+        ex AS (SELECT aa.node, aa.t, count(f.node) AS explains FROM aa LEFT JOIN (SELECT seed, node FROM fr WHERE node IN (SELECT node FROM aa) AND seed <> node) f ON f.seed = aa.node GROUP BY ALL),
+        scc AS (SELECT aa.node, least(aa.node, coalesce(min(m.node), aa.node)) AS scc FROM aa LEFT JOIN (SELECT a.seed, a.node FROM rs a JOIN rs b ON a.seed = b.node AND a.node = b.seed) m ON m.seed = aa.node GROUP BY aa.node),
         entered AS (SELECT DISTINCT b.scc FROM rs JOIN scc a ON a.node = rs.seed JOIN scc b ON b.node = rs.node WHERE a.scc <> b.scc),
         src_ AS (SELECT scc.scc, ex.* FROM scc JOIN ex USING (node) WHERE scc.scc NOT IN (SELECT scc FROM entered)),
         rep AS (SELECT scc, count(*) AS members, min(t) AS t FROM src_ GROUP BY scc), best AS (SELECT * FROM src_ QUALIFY row_number() OVER (PARTITION BY scc ORDER BY explains DESC, node) = 1)
