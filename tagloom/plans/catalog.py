@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tagloom.plans import event_queries, graph_queries, inventory_queries, register_queries
+from tagloom.plans import event_queries, graph_queries, inventory_queries, register_queries, rule_queries
 
-MODULES = (register_queries, graph_queries, event_queries, inventory_queries)
+MODULES = (register_queries, graph_queries, event_queries, inventory_queries, rule_queries)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
