@@ -43,7 +43,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, token_ids (packed), ids_sha256, and round_trip: whether decoding gives the text."""
     place, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), place, pattern)
-    decoded = bpe.decode(encoded, place, pattern)
+    decoded = bpe.decode(encoded, place)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select("doc_id", "source", "lang", "n_tokens", "token_ids", bpe.sha256("token_ids").alias("ids_sha256"), same.alias("round_trip"))
 

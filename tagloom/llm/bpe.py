@@ -24,9 +24,9 @@ from pyspark.sql.functions import arrow_udf
 from tagloom.llm.common import with_struct
 
 #: Pieces kept in a worker's two cache generations, and the longest piece (in characters) that is kept.
-CACHE_PIECES, CACHE_LENGTH = 200_000, 40
+CACHE_PIECES, CACHE_LENGTH = 120_000, 40
 #: Pairs whose compatibility a worker remembers before it starts anew.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 250_000
 #: Characters of a text that are split into pieces and packed at a time.
 STEP = 1 << 20
 
@@ -131,11 +131,25 @@ class Codec:
         return b"".join(out + some)
 
     def decode(self, packed: bytes) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in struct.unpack(f"<{len(packed) // 4}I", packed)])
+        return joined(packed, self.bytes_of)
+
+
+def joined(packed: bytes, bytes_of: dict[int, bytes]) -> bytes:
+    """The bytes of packed ids, a step's ids at a time."""
+    step = 4 * STEP
+    parts = (packed[i : i + step] for i in range(0, len(packed), step)) if len(packed) > step else (packed,)
+    return b"".join([b"".join([bytes_of[i] for i in struct.unpack(f"<{len(part) // 4}I", part)]) for part in parts])
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+_TABLES: dict[str, dict[int, bytes]] = {}
+
+
+def table_of(path: str) -> dict[int, bytes]:
+    """Token bytes by id: all that decoding needs."""
+    if path not in _TABLES:
+        _TABLES[path] = {i: t for t, i in read_ranks(path).items()}
+    return _TABLES[path]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -157,13 +171,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     return with_struct(df, run(F.col(f"`{text}`")), ["n_tokens", "token_ids"])
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """df with decoded (binary): the bytes that the packed ids stand for; null ids count as none."""
 
     @arrow_udf("binary")
     def run(packed: pa.Array) -> pa.Array:
-        c = codec(path, pattern)
-        return pa.array([c.decode(x.as_py()) if x.is_valid else b"" for x in packed], pa.binary())
+        table = table_of(path)
+        return pa.array([joined(x.as_py(), table) if x.is_valid else b"" for x in packed], pa.binary())
 
     return with_struct(df, F.struct(run(F.col(f"`{ids}`")).alias("decoded")), ["decoded"])
 

@@ -21,7 +21,7 @@ PSEUDONYM_KEY = "example key, not a secret"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     place, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, place, pattern).drop("text"), place, pattern)
+    both = bpe.decode(bpe.encode(docs, place, pattern).drop("text"), place)
     return both.select("doc_id", "n_tokens", bpe.sha256("token_ids").alias("ids_sha256"), bpe.sha256("decoded").alias("decoded_sha256"))
 
 

@@ -50,7 +50,7 @@ def test_long_text_by_steps(monkeypatch):
 
 def test_frame(spark):
     df = spark.createDataFrame([(1, "hello world", 7), (2, None, 8), (3, "", 9), (3, "", 9)], "doc_id long, text string, N_TOKENS int")
-    out = bpe.decode(bpe.encode(df, PLACE, public_tokenizers.PATTERN), PLACE, public_tokenizers.PATTERN)
+    out = bpe.decode(bpe.encode(df, PLACE, public_tokenizers.PATTERN), PLACE)
     assert out.columns == ["doc_id", "text", "n_tokens", "token_ids", "decoded"]
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].n_tokens == len(LIBRARY.encode_ordinary("hello world")) and bytes(rows[1].decoded) == b"hello world"
