@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Words that carry no identity, legs and levels.
 ATTRIBUTES = "PV MEAS VALUE VAL AI AO OUT IN SP CV STAT STATUS ALM ALARM MODE QUAL EU".split()
-SOURCES = "TAG POINT PT_ID ITEM PLANT HULDRA SAS IMS".split()
+SOURCES = "TAG POINT PT_ID ITEM PLANT SAS IMS".split()
 LEVELS = ["H", "HH", "L", "LL"]
 _ALARM = r"^[PLTFZXA]{0,2}(HH|LL|H|L)$"
 _FORMS = {
@@ -17,13 +17,13 @@ _FORMS = {
 }
 
 
-def parse_point(raw: Column) -> Column:
+def parse_point(raw: Column, site_words: tuple[str, ...] = ()) -> Column:
     """struct(system, type_code, number, leg, alarm_level, attribute); type_code null where nothing like a tag is there.
 
-    Source words in front and attributes or alarm marks behind are whole tokens; the first token is never taken off.
+    site_words: names of the plant or export that count as source words too. Source words in front and attributes or alarm marks behind are whole tokens; the first token is never taken off.
     """
     tokens = F.filter(F.split(F.upper(F.trim(raw)), r"[\s_\-./:\\]+"), lambda t: t != "")
-    words = F.array(*[F.lit(w) for w in SOURCES])
+    words = F.array(*[F.lit(w) for w in (*SOURCES, *site_words)])
     front = F.aggregate(tokens, F.lit(0), lambda n, t: F.when((n >= 0) & F.array_contains(words, t), n + 1).when(n >= 0, -n - 1).otherwise(n), lambda n: F.when(n < 0, -n - 1).otherwise(n))
     front = F.least(front, F.size(tokens) - 1)
     rest = F.slice(tokens, F.greatest(front, F.lit(0)) + 1, F.greatest(F.size(tokens), F.lit(1)))

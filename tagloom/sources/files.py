@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.tags import discipline_of_file
 
 # What is no tag source.
-SKIP_PARTS = ["scd legend", "symbols", "semantum", "processed", "legend"]
+SKIP_PARTS = ["scd legend", "symbols", "processed", "legend"]
 SKIP_NAMES = ["license", "licence"]
 
 
@@ -27,9 +27,10 @@ def described(files: DataFrame) -> DataFrame:
     return files.select("path", name.alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"), suffix.alias("suffix"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.round(F.col("length") / 1024, 1).alias("size_kb"))
 
 
-def is_skipped(path: Column) -> Column:
+def is_skipped(path: Column, also: tuple[str, ...] = ()) -> Column:
+    """Whether a part of the path is reference material (also: more folder names of the site) or the name a licence."""
     parts = F.split(F.lower(path), "/")
-    folder = F.exists(parts, lambda p: p.rlike("|".join(SKIP_PARTS)))
+    folder = F.exists(parts, lambda p: p.rlike("|".join([*SKIP_PARTS, *also])))
     return folder | F.element_at(parts, -1).rlike("|".join(SKIP_NAMES))
 
 
