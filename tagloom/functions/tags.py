@@ -190,8 +190,12 @@ def finding_id(rule: Column, section: Column, tags: Column, most: int = 6) -> Co
 
 
 def line_label(text: Column) -> Column:
-    """struct(size_in, fluid, line_no, spec) of a pipe line label such as 6"-PL-27-1234-AD20."""
-    p = r'^(\d+(?:[./]\d+)?)"?-([A-Z]{1,3})-(?:\d{2}-)?(\d{3,5})-([A-Z0-9]+)'
-    size = F.regexp_extract(text, p, 1)
-    value = F.when(size.contains("/"), F.split(size, "/")[0].try_cast("double") / F.get(F.split(size, "/"), F.lit(1)).try_cast("double")).otherwise(size.try_cast("double"))
-    return F.when(text.rlike(p), F.struct(value.alias("size_in"), F.regexp_extract(text, p, 2).alias("fluid"), F.regexp_extract(text, p, 3).alias("line_no"), F.regexp_extract(text, p, 4).alias("spec")))
+    """struct(size_in, fluid, line_no, system, spec, suffix) of a pipe line label such as 6"-PL-271234-AD200; null if it is none.
+
+    system: the first two digits of a line number of five or more.
+    """
+    p = r'(\d+(?:\.\d+)?)"\s*[-x]\s*([A-Z]{1,3})\s*-\s*(\d{4,6})\s*-\s*([A-Z]{1,2}\d{3,4})(?:\s*-\s*(\w{1,3}))?'
+    size, fluid, number, spec, suffix = (F.regexp_extract(text, p, i) for i in range(1, 6))
+    system = F.when(F.length(number) >= 5, F.substring(number, 1, 2))
+    label = F.struct(size.try_cast("double").alias("size_in"), fluid.alias("fluid"), number.alias("line_no"), system.alias("system"), spec.alias("spec"), suffix.alias("suffix"))
+    return F.when(text.rlike(p), label)

@@ -55,11 +55,11 @@ def terms(text: Column) -> Column:
 
 
 def is_nozzle(tag: Column) -> Column:
-    return tag.rlike(r"(?i)^(\d{2}-)?N\d+[A-Z]?$|NOZZLE")
+    return tag.rlike(r"(?i)^(\d{1,3}[- ]?)?N\d{1,5}$")
 
 
 def is_valve_line(tag: Column) -> Column:
-    return tag.rlike(r"(?i)^\d{2}-\d{3,4}(PV|PL|VF|[A-Z]{2,3})$")
+    return tag.rlike(r"(?i)^(\d{1,3}[- ]?)?\d{3,5}[A-Z]{1,3}$")
 
 
 def is_descriptive(phrase: Column) -> Column:

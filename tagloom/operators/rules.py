@@ -18,7 +18,8 @@ ON_OFF = ["XV", "ESV"]
 POSITION = "ZS ZL ZSH ZSL ZI ZT".split()
 FINAL = "XV ESV ZV FV LV PV TV HV FO".split()
 LOCAL_ONLY = "PI FI TI LI PDI".split()
-ACTUATED = "XV ESV ZV FV LV PV TV".split()
+ACTUATED = "XV ESV XY PV LV FV HV TV".split()
+SHUTDOWN_FUNCTIONS = "LSHH PSHH LSH LSL PSH FSH".split()
 CONTROLLER = "^[A-Z]{1,3}IC$"
 LEGS = ["A", "B", "C", "D"]
 
@@ -81,7 +82,7 @@ def screen_coverage(pid: DataFrame, scd: DataFrame, category: Column) -> DataFra
     """R4-R7, one row a tag: what the P&ID shows and the SCD lacks, by kind of function."""
     missing = pid.join(scd.select("tag").distinct(), "tag", "left_anti").withColumn("_c", category)
     code = F.col("type_code")
-    kinds = [("R4", (F.col("_c") == "input") & ~code.isin(LOCAL_ONLY)), ("R5", code.isin(ACTUATED)), ("R6", code.isin(TRIPS)), ("R7", code.rlike(CONTROLLER))]
+    kinds = [("R4", (F.col("_c") == "input") & ~code.isin(LOCAL_ONLY)), ("R5", code.isin(ACTUATED)), ("R6", code.isin(SHUTDOWN_FUNCTIONS)), ("R7", code.rlike(CONTROLLER))]
     out = None
     for rule, keep in kinds:
         f = findings(missing.filter(keep), rule, "medium", F.lit("coverage"), F.array("tag"))

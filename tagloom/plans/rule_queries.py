@@ -148,7 +148,7 @@ ORACLES = {
         SELECT 'R15', 'low', system || '-' || type_code || '-' || number, {_AGG} FROM tags GROUP BY system, type_code, number HAVING count(DISTINCT suffix) = 1 AND min(suffix) IN {_IN(R.LEGS)}""",
     "rule_coverage": f"""WITH {TAGS_SQL}, m AS (SELECT *, {_CAT} AS category FROM tags WHERE tag NOT IN (SELECT tag FROM tags WHERE size <= 30))
         SELECT 'R4' AS rule, 'medium' AS severity, 'coverage' AS section, tag AS tags FROM m WHERE category = 'input' AND type_code NOT IN {_IN(R.LOCAL_ONLY)} UNION ALL
-        SELECT 'R5', 'medium', 'coverage', tag FROM m WHERE type_code IN {_IN(R.ACTUATED)} UNION ALL SELECT 'R6', 'medium', 'coverage', tag FROM m WHERE type_code IN {_IN(R.TRIPS)} UNION ALL
+        SELECT 'R5', 'medium', 'coverage', tag FROM m WHERE type_code IN {_IN(R.ACTUATED)} UNION ALL SELECT 'R6', 'medium', 'coverage', tag FROM m WHERE type_code IN {_IN(R.SHUTDOWN_FUNCTIONS)} UNION ALL
         SELECT 'R7', 'medium', 'coverage', tag FROM m WHERE regexp_full_match(type_code, '[A-Z]{{1,3}}IC')""",
     "rule_cause_effect": f"""WITH {_LOOPS}, o AS (SELECT * FROM tags WHERE size <= 45) SELECT 'R10' AS rule, 'high' AS severity, 'c&e' AS section, tag AS tags FROM o WHERE type_code IN {_IN(R.ON_OFF)} AND tag NOT IN (SELECT dst FROM loops) UNION ALL
         SELECT 'R11', 'high', 'c&e', tag FROM o WHERE type_code IN {_IN(R.TRIPS)} AND tag NOT IN (SELECT src FROM loops) UNION ALL

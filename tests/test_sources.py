@@ -52,9 +52,9 @@ def test_files(spark, tmp_path):
 def test_words(spark):
     w = spark.createDataFrame([("d", "27", 1, "PT", 100.0, 100.0), ("d", "27", 2, "4805A/B", 104.0, 110.0), ("d", "27", 3, "9999", 104.0, 140.0), ("d", "27", 4, "27-XV4813", 0.0, 0.0), ("d", "27", 5, "27-4510PV", 0.0, 9.0)], "drawing string, system string, seq int, text string, x double, y double")
     assert {r.tag for r in words.extract_tags(w).collect()} == {"27-PT4805A", "27-PT4805B", "27-XV4813", "27-4510PV"}
-    l = spark.createDataFrame([("d", 1, '6"-PL-', 0.0, 10.0, 5.0, 1.0), ("d", 2, "27-1234-AD20", 12.0, 30.0, 20.0, 1.5), ("d", 3, "word", 0.0, 1.0, 1.0, 9.0)], "drawing string, seq int, text string, x0 double, x1 double, x double, y double")
+    l = spark.createDataFrame([("d", 1, '6"-PL-', 0.0, 10.0, 5.0, 1.0), ("d", 2, "271234-AD200", 12.0, 30.0, 20.0, 1.5), ("d", 3, "word", 0.0, 1.0, 1.0, 9.0)], "drawing string, seq int, text string, x0 double, x1 double, x double, y double")
     got = words.line_labels(l).collect()
-    assert len(got) == 1 and got[0].label.fluid == "PL" and got[0].label.line_no == "1234"
+    assert len(got) == 1 and got[0].label.fluid == "PL" and got[0].label.line_no == "271234"
 
 
 def test_sinks(spark, tmp_path):

@@ -68,5 +68,5 @@ def test_numbers(spark):
 def test_files(spark):
     assert values(spark, tags.system_of_file(F.col("c0")), "C025-V-HO27-P-_E-001", "plain") == ["27", "00"]
     assert values(spark, tags.discipline_of_file(F.col("c0")), "C025-V-HO27-P-_E-001", "plain") == ["P", None]
-    got = values(spark, tags.line_label(F.col("c0")), '6"-PL-27-1234-AD20', "1/2-VF-123-B1", "no")
-    assert got[0].size_in == 6.0 and got[1].size_in == 0.5 and got[2] is None
+    got = values(spark, tags.line_label(F.col("c0")), '6"-PL-271234-AD200-A', '0.5" x VF - 1234 - B1234', "no")
+    assert tuple(got[0]) == (6.0, "PL", "271234", "27", "AD200", "A") and tuple(got[1]) == (0.5, "VF", "1234", None, "B1234", "") and got[2] is None

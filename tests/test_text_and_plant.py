@@ -25,6 +25,11 @@ def test_labels(spark):
     assert col(spark, ["Alpha", "", "alp"], lambda c: text.option_matches(c, F.lit("alpha"))) == [True, False, True]
 
 
+def test_shapes(spark):
+    assert col(spark, ["N1", "27-N12", "NOTE", "27-PT1"], text.is_nozzle) == [True, True, False, False]
+    assert col(spark, ["27-4510PV", "4454PL", "27-PT1"], text.is_valve_line) == [True, True, False]
+
+
 def test_mentions(spark):
     tags = lambda *ts: spark.createDataFrame([("d", t) for t in ts], "drawing string, tag string")
     got = {r.tag: r["class"] for r in text.classify_mentions(tags("27-PT1234", "27-1234PV", "13-XV99", "zz", "27-LT55"), tags("27-PT1234", "27-PV1234"), tags("PT1234", "XV 99")).collect()}
