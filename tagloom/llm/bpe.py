@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import with_struct
+from tagloom.llm.common import small_batches, with_struct
 
 #: Pieces kept in a worker's two cache generations, and the longest piece (in characters) that is kept.
 CACHE_PIECES, CACHE_LENGTH = 120_000, 40
@@ -168,7 +168,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
         ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
         return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "token_ids"])
 
-    return with_struct(df, run(F.col(f"`{text}`")), ["n_tokens", "token_ids"])
+    return with_struct(small_batches(df), run(F.col(f"`{text}`")), ["n_tokens", "token_ids"])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -179,7 +179,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
         table = table_of(path)
         return pa.array([joined(x.as_py(), table) if x.is_valid else b"" for x in packed], pa.binary())
 
-    return with_struct(df, F.struct(run(F.col(f"`{ids}`")).alias("decoded")), ["decoded"])
+    return with_struct(small_batches(df), F.struct(run(F.col(f"`{ids}`")).alias("decoded")), ["decoded"])
 
 
 def ids_array(packed: bytes) -> list[int]:

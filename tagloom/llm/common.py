@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds at least one part in this many of the rows, so there are never more heavy keys.
 HEAVY_KEYS = 1024
+#: Rows of an Arrow batch at most, where rows hold texts.
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,14 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were made small enough for rows that hold whole texts; never made larger."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def row_hash(docs: DataFrame) -> Column:
     """A hash of the whole row; with its doc_id it tells rows apart, but for rows equal throughout."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])

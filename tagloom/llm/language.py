@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import with_struct
+from tagloom.llm.common import small_batches, with_struct
 from tagloom.llm.ftrl import Ftrl, bucket_of, least_hashes, probabilities
 
 #: Coordinates of n-grams (one more is the intercept), lengths of n-grams, documents learned from at most, times they are gone through.
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         got = [model.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["lang_pred", "score"])
 
-    return with_struct(docs, run(F.col(f"`{text}`")), ["lang_pred", "score"])
+    return with_struct(small_batches(docs), run(F.col(f"`{text}`")), ["lang_pred", "score"])
 
 
 def held_out(column: str = "doc_id", n: int = 3, fold: int = 1) -> Column:

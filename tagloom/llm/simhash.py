@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import has_repeats, join_groups, keep_rows, row_hash, written
+from tagloom.llm.common import has_repeats, join_groups, keep_rows, row_hash, small_batches, written
 
 #: Bits that may differ, words of a shingle, and how many blocks the bits are cut into.
 BITS, SHINGLE, BLOCKS = 2, 3, 6
@@ -252,7 +252,7 @@ def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 def prints_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     ids = [F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), row_hash(docs).alias("row_hash")]
-    return written(docs.select(*ids, fingerprints(F.col("text"), shingle).alias("code")), "fingerprints")
+    return written(small_batches(docs).select(*ids, fingerprints(F.col("text"), shingle).alias("code")), "fingerprints")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:

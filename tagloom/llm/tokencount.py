@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import with_struct
+from tagloom.llm.common import small_batches, with_struct
 
 #: Characters of a chunk, and of the overlap of two chunks before it is widened.
 CHUNK, OVERLAP = 1 << 16, 1 << 8
@@ -158,4 +158,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", chunk: int = CHUN
         short = iter(e.count_all([t for t in values if len(t) <= chunk]))
         return pa.array([next(short) if len(t) <= chunk else count_long(e, t, chunk, overlap) for t in values], pa.int64())
 
-    return with_struct(df, F.struct(run(F.col(f"`{text}`")).alias("n_tokens")), ["n_tokens"])
+    return with_struct(small_batches(df), F.struct(run(F.col(f"`{text}`")).alias("n_tokens")), ["n_tokens"])

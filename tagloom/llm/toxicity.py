@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import with_struct
+from tagloom.llm.common import small_batches, with_struct
 from tagloom.llm.ftrl import Ftrl, bucket_of, least_hashes, probabilities
 
 #: Coordinates (the last is the intercept), labelled documents learned from at most, and times they are gone through.
@@ -104,7 +104,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([weights.score(t.as_py()) for t in texts], pa.float64())
 
-    out = with_struct(docs, F.struct(run(F.col(f"`{text}`")).alias("score")), ["score"])
+    out = with_struct(small_batches(docs), F.struct(run(F.col(f"`{text}`")).alias("score")), ["score"])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
