@@ -9,13 +9,18 @@ kind, with new check digits where the kind has them. The permutation of a format
 kind and the format only, so equal values have equal pseudonyms in all documents and different ones stay different.
 
 Kept as they are: a card's first digit, an IBAN's country and letters, a telephone number's digits before the last seven, a
-mail's domain. Dates move within 1900 to 2099. What is not valid stays as it was. All this runs in Spark's own functions. A
-null text stays null, with count 0.
+mail's domain. Dates move within 1900 to 2099. What is not valid stays as it was. A null text stays null, with count 0.
+
+A candidate may take in a value and its neighbour ("4111 1111 1111 1111 12/26" begins with 18 digits). Texts with a candidate
+that is valid for no kind, or of a form that can take in a neighbour, are therefore read from left to right: at each
+place the shapes that are fixed come first, then the longest valid part of any kind, and reading goes on behind what was
+found. All this runs in Spark's own functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,12 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
 }
 _ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + r")(?![A-Za-z0-9])"
+_BEGINS = "^(?:" + "|".join(p for kind, p in PATTERNS.items() if kind != "email") + r")"
+#: Forms that are not taken for others: no separators, or those of printed cards; numbers of ten digits as 3, 3 and 4.
+USUAL = {
+    "card": r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}(?:\1[0-9]{4}){2}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}",
+    "phone": r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
+}
 
 
 def _hash(*parts: Column) -> Column:
@@ -233,15 +244,92 @@ def pseudonym(v: Column, key: str) -> Column:
     return out
 
 
+def clear(v: Column) -> Column:
+    """Whether a candidate is valid for a kind and has a form that takes in no neighbour."""
+    out = F.lit(False)
+    for kind, (valid, _) in KINDS.items():
+        out = out | (v.rlike(f"^(?:{USUAL.get(kind, PATTERNS[kind])})$") & valid(v))
+    return out
+
+
+#: At one place: shapes that are fixed first, then all; of each the longest valid one.
+_ORDER = [("card", USUAL), ("ssn", PATTERNS), ("date", PATTERNS), ("ipv4", PATTERNS), ("phone", USUAL), ("iban", PATTERNS), ("card", PATTERNS)]
+_FIXED = [("ssn", PATTERNS), ("date", PATTERNS), ("ipv4", PATTERNS), ("phone", USUAL), ("card", USUAL)]
+#: No candidate but a mail is longer: an IBAN in groups has 42 characters, a card 37, a telephone number 34.
+LONGEST = 48
+#: A mail, or all characters of other kinds that stand together, up to a boundary that is not within a mail.
+_SPAN = r"(?<![A-Za-z0-9])(?:" + PATTERNS["email"] + r"|[0-9A-Z+(][0-9A-Z ./()+-]*(?![A-Za-z0-9._%+-]{0,64}" + PATTERNS["email"].partition("}")[2] + r"))(?![A-Za-z0-9])"
+
+
+def _is(v: Column, kind: str, forms: dict[str, str]) -> Column:
+    return v.rlike(f"^(?:{forms[kind]})$") & KINDS[kind][0](v)
+
+
+def _starting(part: Column) -> Column:
+    """The beginnings of a part that may be a value, longest first: up to a letter or digit that none follows."""
+    plain = lambda c: c.rlike("^[A-Za-z0-9]$")
+    ends = F.filter(F.sequence(F.lit(LONGEST), F.lit(1), F.lit(-1)), lambda e: plain(part.substr(e, F.lit(1))) & ~plain(part.substr(e + 1, F.lit(1))))
+    return F.transform(ends, lambda e: part.substr(F.lit(1), e))
+
+
+def _fixed(part: Column) -> Column:
+    """Whether a value of fixed shape begins a part."""
+    tests = lambda v: reduce(lambda a, b: a | b, [_is(v, *x) for x in _FIXED])
+    return F.exists(_starting(part), tests)
+
+
+def first_value(part: Column) -> Column:
+    """The value that begins a part of a span; null if none does."""
+
+    def choose(some: Column) -> Column:
+        longest = lambda kind, forms: F.get(F.filter(some, lambda v: _is(v, kind, forms)), F.lit(0))
+        phones = F.filter(some, lambda v: _is(v, "phone", PATTERNS))
+        behind = lambda v: part.substr(F.length(v) + 1, F.lit(LONGEST + 2))
+        # digits are all it is known by: it ends where a value of fixed shape follows
+        cut = F.filter(F.reverse(phones), lambda v: behind(v).rlike("^[ .-][0-9(]") & let(behind(v).substr(2, LONGEST + 1), _fixed))
+        return F.coalesce(*[longest(*x) for x in _ORDER], F.get(cut, F.lit(0)), F.get(phones, F.lit(0)))
+
+    return let(_starting(part), choose)
+
+
+def piece(s: Column, value: Column | bool) -> Column:
+    return F.struct(s.alias("s"), (F.lit(value) if isinstance(value, bool) else value).alias("value"))
+
+
+def pieces(span: Column) -> Column:
+    """A span as an array of pieces (s, value) from left to right, read as the module says."""
+    starts = F.filter(F.sequence(F.lit(1), F.length(span)), lambda i: span.substr(i, F.lit(1)).rlike("^[0-9A-Z+(]$") & ((i == 1) | ~span.substr(i - 1, F.lit(1)).rlike("^[A-Za-z0-9]$")))
+
+    def step(acc: Column, i: Column) -> Column:
+        def put(v: Column) -> Column:
+            new = F.concat(acc["out"], F.array(piece(span.substr(acc["at"], i - acc["at"]), False), piece(v, True)))
+            return F.when(v.isNull(), acc).otherwise(F.struct((i + F.length(v)).alias("at"), new.alias("out")))
+
+        part = span.substr(i, F.lit(2 * LONGEST + 2))
+        return F.when((i < acc["at"]) | ~part.rlike(_BEGINS), acc).otherwise(let(let(part, first_value), put))
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<s:string,value:boolean>>").alias("out"))
+    read = F.aggregate(starts, start, step, lambda acc: F.concat(acc["out"], F.array(piece(span.substr(acc["at"], F.length(span)), False))))
+    return F.when(span.contains("@"), F.array(piece(span, True))).otherwise(read)
+
+
+def between(gaps: Column, found: Column, of: Callable[[Column], Column]) -> Column:
+    """The pieces of a text: its gaps, and between them what was found, each taken apart by of."""
+    return F.flatten(F.transform(gaps, lambda g, i: F.concat(F.array(piece(g, False)), F.coalesce(of(F.get(found, i)), F.array().cast("array<struct<s:string,value:boolean>>")))))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the valid values in text replaced, and n_pseudonyms (long), how many were."""
     t = F.col(f"`{text}`")
     some = t.rlike(_ANY)
     out = docs.withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))))
-    out = out.withColumn("_gaps", F.when(some, F.split(t, _ANY, -1)))
-    out = out.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.get("_found", i), F.lit("")))), "")
+    close = F.exists("_found", lambda v: ~clear(v))
+    plain = between(F.split(t, _ANY, -1), F.col("_found"), lambda v: F.when(v.isNotNull(), F.array(piece(v, True))))
+    read = let(F.regexp_extract_all(t, F.lit(_SPAN), F.lit(0)), lambda spans: between(F.split(t, _SPAN, -1), spans, lambda v: F.when(v.isNotNull(), pieces(v))))
+    out = out.withColumn("_pieces", F.when(close, read).when(some, plain))
+    out = out.withColumn("_new", F.transform("_pieces", lambda p: F.when(p["value"], pseudonym(p["s"], key))))
+    joined = F.array_join(F.transform("_pieces", lambda p, i: F.coalesce(F.get("_new", i), p["s"])), "")
     count = F.coalesce(F.size(F.filter("_new", lambda v: v.isNotNull())), F.lit(0))
     count = F.when(F.col("_new").isNull(), 0).otherwise(count).cast("long")
     done = with_new(out, {"n_pseudonyms": count}).withColumn(text, F.coalesce(joined, t))
-    return done.drop("_found", "_gaps", "_new")
+    return done.drop("_found", "_pieces", "_new")

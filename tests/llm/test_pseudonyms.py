@@ -89,3 +89,127 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 6), (2, "", 6)], "doc_id long, text string, N_Pseudonyms int")
     assert sorted((r.doc_id, r.text, r.n_pseudonyms) for r in ps.pseudonymise(df, "k").collect()) == [(1, None, 0), (2, "", 0), (2, "", 0)]
     assert ps.pseudonymise(df.limit(0), "k").count() == 0
+
+
+NEIGHBOURS = [
+    ["4111 1111 1111 1111", "123"], ["4111 1111 1111 1111", "12/26"], ["123-45-6789", "2023-01-05"], ["555-123-4567", "123-45-6789"],
+    ["2023-01-05", "2023-02-06"], ["2001-02-03", "555-123-4567"], ["BE68 5390 0754 7034", "2024-01"], ["12", "4111 1111 1111 1111"],
+    ["4111 1111 1111 1111", "123-45-6789"], ["+1 386 555 3733", "2023-01-05"], ["+1 212 555 0100", "555-123-4567", "10.0.0.1"],
+    ["423-45-6789", "2023-01-05", "4111-1111-1111-1111", "a@b.org", "GB82 WEST 1234 5698 7654 32", "61.131.143.218"],
+]
+ALONE = {"123", "12/26", "2024-01", "12"}
+
+
+def test_neighbours_apart_by_a_space(spark):
+    alone = sorted({v for vs in NEIGHBOURS for v in vs})
+    new = dict(zip(alone, [t for t, _ in swap(spark, alone)]))
+    assert all((new[v] == v) == (v in ALONE) for v in alone)
+    want = [(" ".join(new[v] for v in vs), sum(v not in ALONE for v in vs)) for vs in NEIGHBOURS]
+    assert swap(spark, [" ".join(vs) for vs in NEIGHBOURS]) == want
+
+
+_FORMS = {kind: re.compile(p) for kind, p in ps.PATTERNS.items()}
+_USUAL = {kind: re.compile(p) for kind, p in ps.USUAL.items()}
+_CANDIDATE = re.compile(ps._ANY)
+_EMAIL = re.compile(f"(?:{ps.PATTERNS['email']})(?![A-Za-z0-9])")
+_CARD = re.compile("(?:4|5[1-5]|2[2-7]|3[47]|6)[0-9]{12,18}")
+_SSN = re.compile("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
+#: No candidate but a mail is longer: an IBAN in groups has 42 characters, a card 37, a telephone number 34.
+LONGEST = 48
+
+
+def _is_card(v: str) -> bool:
+    d = re.sub("[^0-9]", "", v)
+    return bool(_CARD.fullmatch(d)) and sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def _is_iban(v: str) -> bool:
+    flat = v.replace(" ", "")
+    return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def _is_date(v: str) -> bool:
+    a, b, c = re.split("[-./]", v)
+    for y, m, d in [(a, b, c)] if len(a) == 4 else [(c, b, a), (c, a, b)]:
+        try:
+            return 1900 <= datetime.date(int(y), int(m), int(d)).year <= 2099
+        except ValueError:
+            pass
+    return False
+
+
+IS = {
+    "iban": _is_iban,
+    "card": _is_card,
+    "ipv4": lambda v: all(o == str(int(o)) and int(o) < 256 for o in v.split(".")),
+    "date": _is_date,
+    "ssn": lambda v: bool(_SSN.fullmatch(v)),
+    "phone": lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15,
+}
+_ORDER = [("card", _USUAL), ("ssn", _FORMS), ("date", _FORMS), ("ipv4", _FORMS), ("phone", _USUAL), ("iban", _FORMS), ("card", _FORMS), ("phone", _FORMS)]
+_FIXED = [("ssn", _FORMS), ("date", _FORMS), ("ipv4", _FORMS), ("phone", _USUAL), ("card", _USUAL)]
+
+
+def _ends(text: str, start: int) -> list[int]:
+    """Where a value that begins at start may end, farthest first: behind a letter or digit that none follows."""
+    stop = min(len(text), start + LONGEST)
+    plain = lambda i: i < len(text) and text[i].isascii() and text[i].isalnum()
+    return [e for e in range(stop, start, -1) if plain(e - 1) and not plain(e)]
+
+
+def _fixed_at(text: str, start: int) -> bool:
+    return any(forms[kind].fullmatch(text, start, e) and IS[kind](text[start:e]) for e in _ends(text, start) for kind, forms in _FIXED)
+
+
+def value_end(text: str, start: int) -> int | None:
+    """Where the value that begins at start ends; None if none does."""
+    if m := _EMAIL.match(text, start):
+        return m.end()
+    ends = _ends(text, start)
+    for kind, forms in _ORDER:
+        valid = [e for e in ends if forms[kind].fullmatch(text, start, e) and IS[kind](text[start:e])]
+        if valid and kind == "phone" and forms is _FORMS:
+            # digits are all it is known by: it ends where a value of fixed shape follows
+            return next((e for e in reversed(valid) if e + 1 < len(text) and text[e] in " .-" and _fixed_at(text, e + 1)), valid[0])
+        if valid:
+            return valid[0]
+    return None
+
+
+def values(text: str) -> tuple[list[str], list[str]]:
+    """The values of a text from left to right, and what stands before, between and behind them."""
+    found, gaps, behind, at = [], [], 0, 0
+    while m := _CANDIDATE.search(text, at):
+        end = value_end(text, m.start())
+        if end is None:
+            at = m.start() + 1
+            continue
+        found.append(text[m.start() : end])
+        gaps.append(text[behind : m.start()])
+        behind = at = end
+    return found, [*gaps, text[behind:]]
+
+
+def test_tests_agree_with_spark(spark):
+    """What is valid for the version above is so for Spark, over values of every kind, near misses and digits at random."""
+    rng = random.Random(5)
+    some = [v for vs in VALUES.values() for v in vs] + ODD + ["31.4.2020", "4/31/2020", "1899-12-31", "2100-01-01", "01.02.003.4", "900-12-3456"]
+    some += ["".join(rng.choice("0123456789") if c.isdigit() and rng.random() < 0.2 else c for c in v) for v in some for _ in range(20)]
+    df = spark.createDataFrame([(v,) for v in some], "v string")
+    for kind, is_valid in IS.items():
+        at = re.compile(ps.PATTERNS[kind])
+        got = df.filter(F.col("v").rlike(f"^(?:{ps.PATTERNS[kind]})$")).select("v", ps.KINDS[kind][0](F.col("v")).alias("ok")).collect()
+        assert len(got) == sum(bool(at.fullmatch(v)) for v in some) and got
+        assert all(r.ok == is_valid(r.v) for r in got), kind
+
+
+def test_as_brute_force(spark):
+    rng = random.Random(6)
+    some = [v for vs in VALUES.values() for v in vs] + ODD + [v for vs in NEIGHBOURS for v in vs] + ["word", "Ä", "(1)", "AB", "12ab", "9@x"]
+    texts = ["".join(x for _ in range(rng.randrange(1, 6)) for x in (rng.choice(some), rng.choice([" ", " ", " ", "-", ", ", "\n", "/", "."]))) for _ in range(150)]
+    want = [values(t) for t in texts]
+    alone = sorted({v for found, _ in want for v in found})
+    new = dict(zip(alone, [t for t, _ in swap(spark, alone)]))
+    got = swap(spark, texts)
+    for t, (found, gaps), (text, n) in zip(texts, want, got):
+        assert (text, n) == (gaps[0] + "".join(new[v] + g for v, g in zip(found, gaps[1:])), len(found)), t
