@@ -3,12 +3,13 @@
 A text's statistics become a vector of four: log mean word length, and the square roots of the shares of symbols, of repeated
 lines and of words in repeated word triples. For each (lang, source) the minimum-covariance-determinant estimate of its
 centre and scatter is approached as by deterministic MCD: start from medians and median deviations, then concentrate: keep the
-three quarters of the group that are nearest, take their mean and covariance, measure anew, a few times over. The scatter is
-made consistent for the normal law (a group is estimated well while under a quarter of it is odd), and widened by a floor in each coordinate so that statistics which are almost always the
+half of the group's vectors that are nearest, take their mean and covariance, measure anew, a few times over. Equal vectors
+count once, so copies of one text carry no weight by their number. The scatter is made consistent for the normal law (a group
+is estimated well while under half of its distinct vectors are odd), and widened by a floor in each coordinate so that statistics which are almost always the
 same (no symbols at all) don't make a document with one an outlier. A document is rejected if its squared Mahalanobis distance
 is over CUT on the side of bad quality: distances count only coordinates that are above the group's centre, or, for word
 length, off it on either side. The groups of
-a language that have fewer than LEAST documents which pass the base rule are estimated together; if even these are fewer, they
+a language that have fewer than LEAST distinct vectors of documents which pass the base rule are estimated together; if even these are fewer, they
 reject nothing.
 
 Sums, counts and quantile sketches are combined before each shuffle, and estimates meet documents by join_groups, so a source
@@ -27,8 +28,10 @@ from tagloom.llm.exactdedup import squeezed
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 #: Base rule: fewest words, and most words in repeated triples (in percent).
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Share of a group that is concentrated on, rounds, consistency factor for that share and four coordinates, floors, cut and least group.
-SHARE, ROUNDS, FACTOR, FLOORS, CUT, LEAST = 0.75, 3, 1.486, (0.05, 0.06, 0.15, 0.15), 40.0, 50
+#: Share of a group that is concentrated on, rounds, consistency factor for that share and four coordinates, floors, cut (the chi-square quantile of 0.999 with four degrees) and least group.
+SHARE, ROUNDS, FACTOR, FLOORS, CUT, LEAST = 0.75, 3, 1.486, (0.05, 0.06, 0.10, 0.10), 18.467, 50
+#: Documents are judged by an estimate from half of a group's distinct vectors.
+HALF, HALF_FACTOR = 0.5, 2.109
 VECTOR = ("z1", "z2", "z3", "z4")
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 
@@ -97,7 +100,7 @@ def distance(df: DataFrame, off: list[Column]) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, 4)), F.col("_y0") * F.col("_y0"))).drop(*[f"_y{i}" for i in range(4)])
 
 
-def estimates(vectors: DataFrame, keys: list[str]) -> DataFrame:
+def estimates(vectors: DataFrame, keys: list[str], share: float = SHARE, factor: float = FACTOR) -> DataFrame:
     """Written rows (keys, z1..z4) -> one row a group: keys, n, centre m0..m3, scatter c00..c33 and its factor l00..l33."""
     name, floor = "mcd", [F.lit(f * f) for f in FLOORS]
 
@@ -116,10 +119,10 @@ def estimates(vectors: DataFrame, keys: list[str]) -> DataFrame:
     for _ in range(ROUNDS):
         near = join_groups(vectors, current, keys, "n")
         near = distance(near, [z[i] - F.col(f"m{i}") for i in range(4)])
-        limit = written(near.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("d2", SHARE, 1000).alias("limit"), *[F.first(f"{a}{k}").alias(f"{a}{k}") for a, k in names()]), name)
+        limit = written(near.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("d2", share, 1000).alias("limit"), *[F.first(f"{a}{k}").alias(f"{a}{k}") for a, k in names()]), name)
         near = distance(join_groups(vectors, limit, keys, "n"), [z[i] - F.col(f"m{i}") for i in range(4)])
         step = near.groupBy(*keys).agg(F.count("*").alias("n"), *spread(z, F.col("d2") <= F.col("limit")))
-        current = written(widened(step, FACTOR, floor), name)
+        current = written(widened(step, factor, floor), name)
     return current
 
 
@@ -143,13 +146,14 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     rows = written(rows.select("*", *[z.alias(v) for z, v in zip(vector(), VECTOR)]), "quality")
-    good = F.count(F.when(~F.col("base_failed"), 1))
+    good = F.count_distinct(F.when(~F.col("base_failed"), F.struct(*VECTOR)))
     groups = written(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), good.alias("n_good")), "quality-groups")
     small = F.col("n_good") < LEAST
     rows = join_groups(rows, groups.withColumn("pooled", small).drop("n_good"), ["lang", "source"], "n").drop("n")
     rows = written(rows.withColumn("source", F.when(~F.col("pooled"), F.col("source"))), "quality")
     keys = ["lang", "source", "pooled"]
-    good = estimates(rows.filter("NOT base_failed").select(*keys, *VECTOR), keys).withColumnRenamed("n", "n_good")
+    distinct = written(rows.filter("NOT base_failed").select(*keys, *VECTOR).distinct(), "quality-vectors")
+    good = estimates(distinct, keys, HALF, HALF_FACTOR).withColumnRenamed("n", "n_good")
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).alias("g")
     alike = [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     fits = groups.join(good.alias("e"), alike[0] & alike[1] & alike[2], "left")

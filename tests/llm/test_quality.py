@@ -85,3 +85,23 @@ def test_edges(spark, n):
     assert [r.kept for r in q.judge(docs).collect()] == [False] * n and q.keep_good(docs).count() == 0
     bare = spark.createDataFrame([(1, "word " + " ".join(map(str, range(60))))], "doc_id long, text string")
     assert q.keep_good(bare).count() == 1
+
+
+def test_repeated_lines_and_many_copies(spark):
+    """Documents with repeated lines go, as do copies of one odd text that make up a third of a group; others stay."""
+    rng = random.Random(8)
+
+    def lines(n):
+        return ["".join(rng.choices("abcdefgh", k=8)) + " " + "".join(rng.choices("abcdefgh", k=rng.choice([3, 5, 6]))) for _ in range(n)]
+
+    rows = [(i, "\n".join(lines(rng.randrange(60, 90))), "clean") for i in range(200)]
+    # two words a line: repeated lines are apart, so no triple of words repeats
+    for i in range(200, 206):
+        some = lines(40)
+        rows.append((i, "\n".join(x for k, line in enumerate(some) for x in ([line, *lines(1), some[0]] if k % 2 else [line])), "repeated"))
+    odd = "\n".join(f"{x} |" for x in lines(70))
+    rows += [(i, odd, "copy") for i in range(206, 306)]
+    docs = spark.createDataFrame([(i, t, "en", "hot") for i, t, _ in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in q.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(k, got[i].kept) for i, _, k in rows if got[i].kept != (k == "clean")] == []
