@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,16 +46,42 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 class DigestIndex:
-    """A digest index at a path that outlives the session; `name` is what this session's catalogue calls it."""
+    """A digest index at a path that outlives the session; `name` is what this session's catalogue calls it.
+
+    The number of buckets stands beside the index, in the folder `path`-buckets, and holds when it is opened again.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or shared_path(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as a shuffle makes: a batch needs no other
+        self.buckets = self._bucket_count(buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX)
         spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
+    def _bucket_count(self, asked: int | None) -> int:
+        place = f"{self.path.rstrip('/')}-buckets"
+        stored = self._read(place, "buckets int")
+        if stored is not None:
+            count = stored.first()["buckets"]
+            if asked and asked != count:
+                raise ValueError(f"the index at {self.path} has {count} buckets, not {asked}")
+            return count
+        old = self._read(self.path, INDEX)
+        if not asked and old is not None and not old.isEmpty():
+            raise ValueError(f"the index at {self.path} has no bucket count beside it: give the count it was written with")
+        count = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # as many as a shuffle makes: a batch needs no other
+        self.spark.range(1).select(F.lit(count).alias("buckets")).coalesce(1).write.parquet(place)
+        return count
+
+    def _read(self, path: str, schema: T.StructType | str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

@@ -60,3 +60,22 @@ def test_second_batch(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ex.exact_duplicates(docs).count() == 0 and ex.keep_one(docs).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [2, 16])
+def test_reopened_under_other_shuffle_partitions(spark, partitions):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    try:
+        spark.conf.set(key, "7")
+        index = ex.DigestIndex(spark)
+        assert ex.exact_duplicates(docs, index).filter("kept").count() == 60
+        spark.conf.set(key, str(partitions))
+        again = ex.DigestIndex(spark, index.path)
+        assert ex.exact_duplicates(docs, again).filter("kept").count() == 0
+        assert again.buckets == 7 and again.rows().count() == 60
+        with pytest.raises(ValueError):
+            ex.DigestIndex(spark, index.path, partitions)
+    finally:
+        spark.conf.set(key, before)
