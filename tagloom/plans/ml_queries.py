@@ -15,7 +15,7 @@ from tagloom.streaming import watch
 def document_clusters(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     features = ml.tfidf(docs, "text").transform(docs).select("doc_id", "features")
-    model, _ = ml.choose_k(features, range(2, 6))
+    model, _ = ml.choose_k(features)
     return model.transform(features).select("doc_id", F.col("prediction").alias("cluster"))
 
 
