@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key counts as heavy when it holds at least one part in this many of the rows, so there are never more heavy keys.
 HEAVY_KEYS = 1024
@@ -20,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master
+    is local (tests). On a cluster without it this raises: tables in machine-local folders would be lost."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tagloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,36 +46,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hidden(n: int) -> list[str]:
+    """Names for helper columns, which no input has."""
+    return [f"_{uuid.uuid4().hex}" for _ in range(n)]
+
+
 def with_new(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """df with the new columns; one of the same name (in any case) is replaced, all others stay."""
     clash = {name.lower() for name in new}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash], *[c.alias(n) for n, c in new.items()])
+    return df.select(*[named(c) for c in df.columns if c.lower() not in clash], *[c.alias(n) for n, c in new.items()])
 
 
 def with_struct(df: DataFrame, result: Column, fields: list[str]) -> DataFrame:
     """df with the fields of a struct, evaluated once a row, as columns."""
-    hidden = f"_{uuid.uuid4().hex[:8]}"
-    out = df.withColumn(hidden, result)
-    kept = [c for c in df.columns if c.lower() not in {f.lower() for f in fields}]
-    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{hidden}.{f}").alias(f) for f in fields])
-
-
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality on keys for which null equals null."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    (mine,) = hidden(1)
+    out = df.withColumn(mine, result)
+    return with_new(out, {f: F.col(f"{mine}.{f}") for f in fields}).drop(mine)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after the session's Arrow batches were made small enough for rows that hold whole texts; never made larger."""
+    """df, after the session's Arrow batches were made small enough for rows that hold whole texts; never made larger.
+
+    Spark reads this setting when it plans a query, which is after an operator returned, so it stays set in the session.
+    """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= TEXT_ROWS:
         conf.set(key, str(TEXT_ROWS))
     return df
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether xxhash64 takes a type: not where a map or a variant is in it."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def row_hash(docs: DataFrame) -> Column:
-    """A hash of the whole row; with its doc_id it tells rows apart, but for rows equal throughout."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    """A hash of the whole row; with its doc_id it tells rows apart, but for rows equal throughout. Maps count as their JSON."""
+    fields = [named(f.name) if _hashable(f.dataType) else F.to_json(F.struct(named(f.name))) for f in docs.schema.fields]
+    return F.xxhash64(*fields, *[named(c).isNull() for c in docs.columns])
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, repeats: bool = False) -> DataFrame:
@@ -81,12 +102,13 @@ def keep_rows(docs: DataFrame, kept: DataFrame, repeats: bool = False) -> DataFr
     those only one is to stay.
     """
     names = docs.columns
-    out = docs.withColumn("_tagloom_hash", row_hash(docs))
-    ids = kept.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_kept"))
-    out = out.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tagloom_hash") == F.col("_kept")), "left_semi")
+    mine, id_, hash_, row = hidden(4)
+    out = docs.withColumn(mine, row_hash(docs))
+    ids = kept.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_))
+    out = out.join(ids, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(hash_)), "left_semi")
     if repeats:
-        out = out.groupBy("doc_id", "_tagloom_hash").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_row")).select("_row.*")
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        out = out.groupBy("doc_id", mine).agg(F.first(F.struct(*[named(c) for c in names])).alias(row)).select(f"{row}.*")
+    return out.select(*[named(c) for c in names])
 
 
 def has_repeats(decided: DataFrame) -> bool:
@@ -103,7 +125,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     total = groups.agg(F.sum(size)).first()[0] or 0
     heavy = F.col(size) * HEAVY_KEYS >= F.lit(total)
     many, few = groups.filter(heavy), groups.filter(~heavy)
-    renamed = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    renamed = dict(zip(keys, hidden(len(keys))))
 
     def side(df: DataFrame) -> DataFrame:
         return df.select(*[F.col(k).alias(renamed[k]) for k in keys], *[c for c in df.columns if c not in keys])

@@ -2,12 +2,18 @@
 
 Texts are equal when they are so after every ASCII white-space character is deleted; a null text counts as empty. The index
 is a Parquet table with one row a digest: the row that stays, and how many rows had the digest when it was added. A batch is
-reduced to one row a digest (combined before the shuffle, so a huge group of copies costs no task more than any other),
-anti-joined by sort-merge with the index, whose buckets need neither shuffle nor sort, and what is new is appended.
+first reduced to a table with one row a digest; each task combines its own rows before that shuffle, so a huge group of copies
+sends one row for each task that had some of it. That table is anti-joined by sort-merge with the index, whose buckets need
+neither shuffle nor sort, and what is new is appended. (The table is written before the join, since Catalyst would otherwise
+join the raw rows first and combine them behind the shuffle.)
 
 Of equal texts within a batch, the one with the most code points before deleting stays, then the least doc_id (null first);
-of rows that are equal in all of these, one stays. A digest that the index had before keeps the row it had. All this runs in
-Spark's own functions.
+of rows that are equal in all of these, the one of least row hash, and of rows equal throughout, one. A digest that the index
+had before keeps the row it had. Empty tables give empty results.
+
+A batch has an id. Its decisions are written before the index learns of it, and the index holds rows by their doc_id and row
+hash, so after a crash anywhere the same batch is given again under the same id and gets the same result. Batches are added
+to an index one at a time. All this runs in Spark's own functions.
 """
 
 from __future__ import annotations
@@ -19,11 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import has_repeats, join_groups, keep_rows, row_hash, shared_path, written
+from tagloom.llm.common import has_repeats, join_groups, keep_rows, named, row_hash, shared_path, written
 
 #: White space that does not count.
 SPACES = " \t\n\x0b\x0c\r"
-INDEX = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("keep_row", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("batch", T.StringType())])
+INDEX = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType()), T.StructField("keep_hash", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("batch", T.StringType())])
 
 
 def squeezed(text: Column) -> Column:
@@ -37,14 +43,20 @@ def squeezed(text: Column) -> Column:
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row (distinct for each row of this result once it is written), row_hash, n_chars and digest of each row."""
     return docs.select(
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+        named(doc_id).cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
         row_hash(docs).alias("row_hash"),
-        F.coalesce(F.length(f"`{text}`"), F.lit(0)).alias("n_chars"),
-        F.unhex(F.sha2(squeezed(F.col(f"`{text}`")), 256)).alias("digest"),
+        F.coalesce(F.length(named(text)), F.lit(0)).alias("n_chars"),
+        F.unhex(F.sha2(squeezed(named(text)), 256)).alias("digest"),
     )
 
 
+def grouped(batch: DataFrame) -> DataFrame:
+    """A written `digests` table -> digest, best (the row that stays), n (its rows); combined before the shuffle."""
+    best = F.struct((-F.col("n_chars")).alias("less"), "doc_id", "row_hash", "row")
+    return batch.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("n"))
+
+
 class DigestIndex:
     """A digest index at a path that outlives the session; `name` is what this session's catalogue calls it.
 
@@ -85,36 +97,62 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, batch: DataFrame, batch_id: str | None = None) -> str:
-        """Append what is new in a written `digests` table; returns the id under which its rows stand."""
-        batch_id = batch_id or uuid.uuid4().hex
-        best = F.struct(-F.col("n_chars"), F.col("doc_id"), F.col("row"))
-        groups = batch.groupBy("digest").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
-        known = self.rows().select("digest").hint("merge")
-        fresh = groups.join(known, "digest", "left_anti").select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size", F.lit(batch_id).alias("batch"))
+    def fresh(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digest the index lacks."""
+        return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+    def decide(self, batch: DataFrame, batch_id: str) -> DataFrame:
+        """A written `digests` table -> a written table with a row for each of its digests: digest, n, keep_id, keep_hash,
+        group_size, fresh (the index lacks it), and keep_row, the batch's row that stays, or null. The index stays as it is."""
+        groups = written(grouped(batch), "digest-groups")
+        new = self.fresh(groups).select("digest", "n", F.col("best.doc_id").alias("keep_id"), F.col("best.row_hash").alias("keep_hash"), F.col("n").alias("group_size"), F.lit(True).alias("fresh"), F.col("best.row").alias("keep_row"))
+        known = groups.join(self.rows().hint("merge"), "digest", "inner")
+        ours = (F.col("batch") == batch_id) & F.col("keep_id").eqNullSafe(F.col("best.doc_id")) & (F.col("keep_hash") == F.col("best.row_hash"))
+        old = known.select("digest", "n", "keep_id", "keep_hash", "group_size", F.lit(False).alias("fresh"), F.when(ours, F.col("best.row")).alias("keep_row"))
+        return written(new.unionByName(old), "digest-decided")
+
+    def add(self, decided: DataFrame, batch_id: str) -> None:
+        """Append what is new in the decisions on a batch."""
+        fresh = decided.filter("fresh").select("digest", "keep_id", "keep_hash", "group_size", F.lit(batch_id).alias("batch"))
+        fresh = fresh.repartition(self.buckets, "digest")  # a bucket is one task's, and so one file
         fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name, path=self.path)
         self.spark.catalog.refreshTable(self.name)
-        return batch_id
+
+    def close(self) -> None:
+        """Take the index out of this session's catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def deduplicate(batch: DataFrame, index: DigestIndex, batch_id: str) -> DataFrame:
-    """The batch's rows (doc_id, row, row_hash, n_chars, digest) with keep_id, group_size and kept, after index.add gave batch_id.
+    """The rows of a written `digests` table with keep_id, group_size and kept; the index has the batch afterwards.
 
     group_size counts this batch's rows of a digest that came with it, and for older digests the rows they came with.
     """
-    known = index.rows().withColumn("ours", F.col("batch") == batch_id).drop("batch")
-    joined = join_groups(batch, known, ["digest"], "group_size")
-    return joined.withColumn("kept", F.col("ours") & (F.col("row") == F.col("keep_row"))).drop("ours", "keep_row")
+    decided = index.decide(batch, batch_id)
+    index.add(decided, batch_id)
+    joined = join_groups(batch, decided.select("digest", "n", "keep_id", "group_size", "keep_row"), ["digest"], "n")
+    return joined.withColumn("kept", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))).drop("n", "keep_row")
+
 
+def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch_id: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, row, row_hash, n_chars, digest, keep_id, group_size, kept. Adds the documents to the index.
 
-def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, row, row_hash, n_chars, digest, keep_id, group_size, kept. Adds the documents to the index."""
-    index = index or DigestIndex(docs.sparkSession)
+    With an index that outlives the run batch_id names the documents, and a run that is repeated gives the same one. Without
+    an index the documents are held against each other only.
+    """
+    if index is not None and not batch_id:
+        raise ValueError("an index that outlives the run needs a batch_id, under which a run can be repeated")
     batch = written(digests(docs, doc_id, text), "digests")
-    return deduplicate(batch, index, index.add(batch))
+    if index is not None:
+        return deduplicate(batch, index, batch_id)
+    index = DigestIndex(docs.sparkSession)
+    try:
+        return deduplicate(batch, index, "only")
+    finally:
+        index.close()
 
 
-def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, index: DigestIndex | None = None, batch_id: str | None = None) -> DataFrame:
     """docs without the rows that are copies of one that stays; columns as they were."""
-    decided = written(exact_duplicates(docs, index), "exact-decided")
+    decided = written(exact_duplicates(docs, index, batch_id), "exact-decided")
     return keep_rows(docs, decided.filter("kept"), has_repeats(decided))
