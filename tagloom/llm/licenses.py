@@ -7,6 +7,8 @@ tightest, then AND, then OR. An expression is evaluated to how far it binds its
 (reserved): OR takes the lesser side, AND the greater, and an exception halves it. A text's score is the greatest value
 of its phrases and expressions, 0 where there is none.
 
+An expression ends with its line or where another tag begins, so each character is read once, however long the line.
+
 Null texts count as empty: no words, no labels, score 0. An expression that does not parse keeps the licences named in it,
 counts as their AND, and is reported with valid = false.
 """
@@ -14,6 +16,9 @@ counts as their AND, and is reported with valid = false.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,12 +60,14 @@ TAGS = ("spdx-license-identifier:", "license-identifier:", "license-expression:"
 _NOT_WORD = bytes(c if c >= 128 or chr(c).isdigit() or "a" <= chr(c) <= "z" else 32 for c in range(256))
 _TERM = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+_FAMILIES = sorted(BINDS, key=len, reverse=True)
 
 
+@lru_cache(1 << 12)
 def label_of(name: str) -> str:
     """The family of a licence identifier: gpl-2.0-only is gpl, cc-by-sa-4.0 is cc-by-sa."""
     stem = re.sub(r"(-only|-or-later|\+)$", "", name)
-    for family in sorted(BINDS, key=len, reverse=True):
+    for family in _FAMILIES:
         if stem == family or stem.startswith((f"{family}-", f"{family}.")) or stem.rstrip("0123456789.") == family:
             return family
     return stem
@@ -117,19 +124,22 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
         if token == "with":
             stack.append((left / 2, labels))  # what follows names an exception, not a licence
         else:
-            stack.append((min(left, right) if token == "or" else max(left, right), labels | more))
+            few, many = sorted((labels, more), key=len)
+            many |= few  # the lesser set into the greater: a long chain of licences stays linear
+            stack.append((min(left, right) if token == "or" else max(left, right), many))
     return stack[0]
 
 
-def read_expression(line: str) -> tuple[str, float, set[str], bool] | None:
-    """Expression, value, labels and validity of what follows a tag; None if nothing does."""
+def read_expression(text: str, start: int = 0, stop: int | None = None) -> tuple[str, float, set[str], bool] | None:
+    """Expression, value, labels and validity of what stands from start to stop, behind a tag; None if nothing does."""
     tokens: list[str] = []
-    for m in _TERM.finditer(line):
-        joined = not line[: m.start()].strip(" \t(") or bool(re.search(r"[\s(]$", line[: m.start()])) or m.group() == ")" or tokens[-1:] == [")"]
+    for m in _TERM.finditer(text, start, len(text) if stop is None else stop):
+        at, term = m.start(), m.group()
+        apart = at == start or text[at - 1] in " \t\r\x0b\x0c(" or term == ")" or tokens[-1:] == [")"]
         wanted = not tokens or tokens[-1] in _PRECEDENCE or tokens[-1] == "("
-        if not joined or (m.group() not in _PRECEDENCE and m.group() != ")" and not wanted):
+        if not apart or (term not in _PRECEDENCE and term != ")" and not wanted):
             break  # prose or the end of a comment follows
-        tokens.append(m.group().rstrip("."))
+        tokens.append(term.rstrip("."))
     if not tokens:
         return None
     try:
@@ -160,20 +170,23 @@ class Scanner:
         words = lower.translate(_NOT_WORD).split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
         places: list[tuple[str, int, int, bool]] = []
-        at, word = 0, 0
+        begins: list[int] = []
         for end, (size, label, base) in self.phrases.iter(line):
+            begins = begins or list(accumulate((len(w) + 1 for w in words), initial=1))
             start = end - size  # of the phrase's first letter
-            first, last = (word + line.count(" ", at, start) - 1, None) if start >= at else (line.count(" ", 0, start) - 1, None)
-            if start >= at:
-                at, word = start, first + 1
-            places.append((label, first, line.count(" ", start, end) + 1, base))
+            places.append((label, bisect_left(begins, start), line.count(" ", start, end) + 1, base))
         expressions = []
         if b"identifier:" in lower or b"expression:" in lower:
             whole = lower.decode("latin-1")
-            stops = {end + 1 for end, _ in self.tags.iter(whole)}
-            for stop in sorted(stops):
-                to = whole.find("\n", stop)
-                if found := read_expression(whole[stop : len(whole) if to < 0 else to]):
+            tags: dict[int, int] = {}  # where a tag ends and begins; of two that end together the longer
+            for end, size in self.tags.iter(whole):
+                tags[end + 1] = min(end + 1 - size, tags.get(end + 1, end))
+            line_end = -1
+            for stop, nxt in zip(tags, [*list(tags.values())[1:], len(whole)]):
+                if line_end < stop:
+                    line_end = whole.find("\n", stop)
+                    line_end = len(whole) if line_end < 0 else line_end
+                if found := read_expression(whole, stop, min(line_end, max(stop, nxt))):
                     expressions.append(found)
         starts = [first for _, first, _, base in places if base]
         labels = {label for label, *_ in places} | {x for _, _, names, _ in expressions for x in names}

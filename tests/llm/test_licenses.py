@@ -1,9 +1,12 @@
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tagloom.llm import licenses as li
+from tagloom.llm import queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -45,3 +48,60 @@ def test_frame(spark):
     assert (rows[1].n_words, rows[1].first_word, rows[1].last_word, rows[1].labels, rows[1].score) == (9, 2, 6, "cc-by,reserved", 1.0)
     assert (rows[2].n_words, rows[2].first_word, rows[2].labels, rows[2].score) == (0, None, "", 0.0)
     assert li.scan(df.limit(0)).count() == 0
+
+
+def test_long_lines_take_linear_time():
+    """A megabyte of one expression, of tags on one line, of operators between tags, and of phrases: each under two seconds."""
+    s = li.scanner()
+    names = [f"licence-{i}" for i in range(60000)]
+    for text in ("SPDX-License-Identifier: " + " OR ".join(names), "SPDX-License-Identifier: MIT " * 36000, "SPDX-License-Identifier: and and or " * 28000, "lesser general public license cc by nc " * 26000):
+        began = time.process_time()
+        got = s.scan(text)
+        assert len(text) > 900_000 and time.process_time() - began < 2
+        assert bool(got["labels"]) == ("and" not in text)
+    got = s.scan("SPDX-License-Identifier: " + " OR ".join(names))
+    assert got["expressions"][0]["valid"] and got["labels"].count(",") == 59999 and got["score"] == li.UNKNOWN
+
+
+def value_of(expression):
+    """The value by another way: split at the loosest operator outside brackets."""
+    depth, at = 0, {}
+    tokens = expression if isinstance(expression, list) else expression.split()
+    for i, t in enumerate(tokens):
+        depth += (t == "(") - (t == ")")
+        if depth == 0 and t in ("or", "and", "with"):
+            at[t] = i
+    for t, join in (("or", min), ("and", max)):
+        if t in at:
+            return join(value_of(tokens[: at[t]]), value_of(tokens[at[t] + 1 :]))
+    if "with" in at:
+        return value_of(tokens[: at["with"]]) / 2
+    return value_of(tokens[1:-1]) if tokens[0] == "(" else li.BINDS.get(li.label_of(tokens[0]), li.UNKNOWN)
+
+
+def test_expressions_as_brute_force():
+    rng = random.Random(3)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return [rng.choice(["mit", "gpl-2.0-only", "apache-2.0", "cc0-1.0", "nobody", "mpl-2.0"])]
+        if rng.random() < 0.15:
+            return ["(", *some(depth - 1), ")", "with", "classpath-exception-2.0"]
+        inner = [*some(depth - 1), rng.choice(["and", "or"]), *some(depth - 1)]
+        return ["(", *inner, ")"] if rng.random() < 0.4 else inner
+
+    for _ in range(300):
+        e = some(4)
+        got = li.scanner().scan("License-Expression: " + " ".join(e).replace("( ", "(").replace(" )", ")"))
+        assert got["expressions"][0]["valid"] and got["score"] == value_of(e), e
+
+
+def test_query_on_a_table(spark):
+    """The registered query against the plain version, on every document, with its columns."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op3_license_scan"](spark, sf)
+    assert got.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) == len(texts) and any(r.n_base for r in rows)
+    assert all((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id] or "") for r in rows)
