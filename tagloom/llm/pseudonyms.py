@@ -9,7 +9,9 @@ kind, with new check digits where the kind has them. The permutation of a format
 kind and the format only, so equal values have equal pseudonyms in all documents and different ones stay different.
 
 Kept as they are: a card's first digit, an IBAN's country and letters, a telephone number's digits before the last seven, a
-mail's domain. Dates move within 1900 to 2099. What is not valid stays as it was. A null text stays null, with count 0.
+mail's domain. Dates move within 1900 to 2099, alone or before a time. What is not valid stays as it was: so do ten digits
+in a row, which nothing tells from any other number. A number after +1 has eleven digits; of other countries, whose numbers
+differ in length, the longest of nine to fifteen digits is taken. A null text stays null, with count 0.
 
 A candidate may take in a value and its neighbour ("4111 1111 1111 1111 12/26" begins with 18 digits). Texts with a candidate
 that is valid for no kind, or of a form that can take in a neighbour, are therefore read from left to right: at each
@@ -25,12 +27,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import with_new
+from tagloom.llm.common import hidden, named, with_new
 
 ROUNDS = 8
+#: Letters of mails beside ASCII: the range of accented Latin letters.
+ACCENTED = "\u00c0-\u024f"
 #: Candidates, longest kinds first. Java and RE2 agree on all but the look-around.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"[A-Za-z0-9{ACCENTED}][A-Za-z0-9._%+{ACCENTED}-]{{0,63}}@[A-Za-z0-9{ACCENTED}][A-Za-z0-9{ACCENTED}-]*(?:\.[A-Za-z0-9{ACCENTED}-]+)*\.[A-Za-z]{{2,}}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
@@ -38,7 +42,10 @@ PATTERNS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
 }
-_ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + r")(?![A-Za-z0-9])"
+#: What may stand behind a value: no letter or digit, or the T of a time behind a date.
+_TIME = r"T[0-9]{2}(?![A-Za-z0-9])"
+_BEHIND = rf"(?:(?![A-Za-z0-9])|(?={_TIME}))"
+_ANY = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")" + _BEHIND
 _BEGINS = "^(?:" + "|".join(p for kind, p in PATTERNS.items() if kind != "email") + r")"
 #: Forms that are not taken for others: no separators, or those of printed cards; numbers of ten digits as 3, 3 and 4.
 USUAL = {
@@ -76,20 +83,22 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def _power(base: int, n: Column) -> Column:
-    powers = F.array(*[F.lit(base**i).cast("long") for i in range(19 if base == 10 else 13)])
+    powers = F.array(*[F.lit(base**i).cast("long") for i in range({10: 19, 26: 13, 400: 8}[base])])
     return F.element_at(powers, n.cast("int") + 1)
 
 
 def permuted(symbols: Column, base: int, key: str, kind: str) -> Column:
-    """A string of decimal digits (base 10) or lower-case letters (base 26), permuted in runs of at most 15 or 10 symbols."""
-    run, zero = (15, 48) if base == 10 else (10, 97)
+    """A string of digits (base 10), lower-case letters (26) or accented letters (400), permuted in runs of at most 15, 10 or 7."""
+    run, zero = {10: (15, 48), 26: (10, 97), 400: (7, 0xC0)}[base]
+    alphabet = "".join(chr(zero + i) for i in range(base))
 
     def one(part: Column) -> Column:
         n = F.length(part)
         value = F.aggregate(F.split(part, ""), F.lit(0).cast("long"), lambda acc, c: acc * base + F.when(c == "", 0).otherwise(F.ascii(c) - zero))
         left = _power(base, F.floor(n / 2))
         mixed = feistel(value, left, _power(base, n - F.floor(n / 2)), key, F.concat_ws("|", F.lit(kind), n.cast("string")))
-        return let(mixed, lambda m: F.array_join(F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda i: F.char(_div(m, _power(base, i)) % base + zero)), ""))
+        letter = lambda m, i: F.lit(alphabet).substr((_div(m, _power(base, i)) % base + 1).cast("int"), F.lit(1))
+        return let(mixed, lambda m: F.array_join(F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda i: letter(m, i)), ""))
 
     starts = F.sequence(F.lit(0), F.floor((F.length(symbols) - 1) / run).cast("int"))
     return F.when(F.length(symbols) > 0, F.array_join(F.transform(starts, lambda i: one(symbols.substr(i * run + 1, F.lit(run)))), "")).otherwise("")
@@ -173,7 +182,8 @@ def ssn(v: Column, key: str) -> Column:
 
 
 def valid_phone(v: Column) -> Column:
-    return F.length(digits_of(v)).between(9, 15)
+    n = F.length(digits_of(v))
+    return F.when(v.startswith("+1"), n == 11).otherwise(n.between(9, 15))
 
 
 def phone(v: Column, key: str) -> Column:
@@ -226,9 +236,13 @@ def date(v: Column, key: str) -> Column:
 
 
 def email(v: Column, key: str) -> Column:
+    """The local part's letters, accented letters and digits move, each among their like."""
     local, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
     letters = permuted(F.lower(F.regexp_replace(local, "[^A-Za-z]", "")), 26, key, "email")
-    return F.concat(refilled(refilled(local, "[A-Za-z]", letters), "[0-9]", permuted(digits_of(local), 10, key, "email")), F.lit("@"), domain)
+    plain = refilled(refilled(local, "[A-Za-z]", letters), "[0-9]", permuted(digits_of(local), 10, key, "email"))
+    accented = permuted(F.regexp_replace(local, f"[^{ACCENTED}]", ""), 400, key, "email")
+    new = let(plain, lambda p: F.when(local.rlike(f"[{ACCENTED}]"), refilled(p, f"[{ACCENTED}]", accented)).otherwise(p))
+    return F.concat(new, F.lit("@"), domain)
 
 
 _ALWAYS = lambda v: F.lit(True)
@@ -258,7 +272,7 @@ _FIXED = [("ssn", PATTERNS), ("date", PATTERNS), ("ipv4", PATTERNS), ("phone", U
 #: No candidate but a mail is longer: an IBAN in groups has 42 characters, a card 37, a telephone number 34.
 LONGEST = 48
 #: A mail, or all characters of other kinds that stand together, up to a boundary that is not within a mail.
-_SPAN = r"(?<![A-Za-z0-9])(?:" + PATTERNS["email"] + r"|[0-9A-Z+(][0-9A-Z ./()+-]*(?![A-Za-z0-9._%+-]{0,64}" + PATTERNS["email"].partition("}")[2] + r"))(?![A-Za-z0-9])"
+_SPAN = rf"(?<![A-Za-z0-9])(?:{PATTERNS['email']}|[0-9A-Z+(][0-9A-Z ./()+-]*(?![A-Za-z0-9._%+{ACCENTED}-]{{0,64}}@[A-Za-z0-9{ACCENTED}]))(?![A-Za-z0-9])"
 
 
 def _is(v: Column, kind: str, forms: dict[str, str]) -> Column:
@@ -266,9 +280,10 @@ def _is(v: Column, kind: str, forms: dict[str, str]) -> Column:
 
 
 def _starting(part: Column) -> Column:
-    """The beginnings of a part that may be a value, longest first: up to a letter or digit that none follows."""
+    """The beginnings of a part that may be a value, longest first: up to a letter or digit that none follows, or a time does."""
     plain = lambda c: c.rlike("^[A-Za-z0-9]$")
-    ends = F.filter(F.sequence(F.lit(LONGEST), F.lit(1), F.lit(-1)), lambda e: plain(part.substr(e, F.lit(1))) & ~plain(part.substr(e + 1, F.lit(1))))
+    ends = lambda e: plain(part.substr(e, F.lit(1))) & part.substr(e + 1, F.lit(4)).rlike(f"^{_BEHIND}")
+    ends = F.filter(F.sequence(F.lit(LONGEST), F.lit(1), F.lit(-1)), ends)
     return F.transform(ends, lambda e: part.substr(F.lit(1), e))
 
 
@@ -320,16 +335,17 @@ def between(gaps: Column, found: Column, of: Callable[[Column], Column]) -> Colu
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the valid values in text replaced, and n_pseudonyms (long), how many were."""
-    t = F.col(f"`{text}`")
+    t = named(text)
     some = t.rlike(_ANY)
-    out = docs.withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))))
-    close = F.exists("_found", lambda v: ~clear(v))
-    plain = between(F.split(t, _ANY, -1), F.col("_found"), lambda v: F.when(v.isNotNull(), F.array(piece(v, True))))
+    found, parts, new = hidden(3)
+    out = docs.withColumn(found, F.when(some, F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))))
+    close = F.exists(found, lambda v: ~clear(v))
+    plain = between(F.split(t, _ANY, -1), F.col(found), lambda v: F.when(v.isNotNull(), F.array(piece(v, True))))
     read = let(F.regexp_extract_all(t, F.lit(_SPAN), F.lit(0)), lambda spans: between(F.split(t, _SPAN, -1), spans, lambda v: F.when(v.isNotNull(), pieces(v))))
-    out = out.withColumn("_pieces", F.when(close, read).when(some, plain))
-    out = out.withColumn("_new", F.transform("_pieces", lambda p: F.when(p["value"], pseudonym(p["s"], key))))
-    joined = F.array_join(F.transform("_pieces", lambda p, i: F.coalesce(F.get("_new", i), p["s"])), "")
-    count = F.coalesce(F.size(F.filter("_new", lambda v: v.isNotNull())), F.lit(0))
-    count = F.when(F.col("_new").isNull(), 0).otherwise(count).cast("long")
+    out = out.withColumn(parts, F.when(close, read).when(some, plain))
+    out = out.withColumn(new, F.transform(parts, lambda p: F.when(p["value"], pseudonym(p["s"], key))))
+    joined = F.array_join(F.transform(parts, lambda p, i: F.coalesce(F.get(new, i), p["s"])), "")
+    count = F.coalesce(F.size(F.filter(new, lambda v: v.isNotNull())), F.lit(0))
+    count = F.when(F.col(new).isNull(), 0).otherwise(count).cast("long")
     done = with_new(out, {"n_pseudonyms": count}).withColumn(text, F.coalesce(joined, t))
-    return done.drop("_found", "_pieces", "_new")
+    return done.drop(found, parts, new)
