@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,13 +116,15 @@ def has_repeats(decided: DataFrame) -> bool:
     return decided.groupBy("doc_id", "row_hash").count().filter("count > 1").limit(1).count() > 0
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
     """rows with the columns of their group. groups has one row a key, and in `size` the number of rows with that key.
 
     Heavy keys (at most HEAVY_KEYS of them, by counting) are broadcast; the rest is light enough for a shuffled join,
     where no task can get more than a small part of the rows through one key. Give materialised inputs: both are read twice.
+    total: the sum of sizes, where it is known. A key may have a few rows in groups; each of its rows then meets all of them.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
     heavy = F.col(size) * HEAVY_KEYS >= F.lit(total)
     many, few = groups.filter(heavy), groups.filter(~heavy)
     renamed = dict(zip(keys, hidden(len(keys))))
@@ -137,3 +139,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     rest = rows.join(F.broadcast(many.select(*renamed.values())), on, "left_anti")
     cold = rest.join(side(few), on, "inner").select(*names)
     return hot.unionByName(cold)
+
+
+def in_chunks(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, str]:
+    """df written in ranges of an order, and the name of a column that numbers the ranges in that order.
+
+    Rows that agree in all of order share a range; ranges are even, from a sample of the rows, so no task has to sort all.
+    """
+    (chunk,) = hidden(1)
+    spread = df.repartitionByRange(max(1, df.sparkSession.sparkContext.defaultParallelism), *order)
+    return written(spread.withColumn(chunk, F.spark_partition_id()), name), chunk
+
+
+def sums_before(df: DataFrame, chunk: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """An `in_chunks` table with running sums of all rows before each: within its range, and over the ranges before it.
+
+    One task sees a row for each range, never all rows. Sums are null where nothing stands before.
+    """
+    inner, offset, other = hidden(len(sums)), hidden(len(sums)), hidden(1)[0]
+    within = Window.partitionBy(chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy(other).rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy(F.col(chunk).alias(other)).agg(*[F.sum(c).alias(n) for n, c in zip(inner, sums.values())])
+    per = per.select(other, *[F.sum(a).over(ahead).alias(b) for a, b in zip(inner, offset)])
+    out = df.select("*", *[F.sum(c).over(within).alias(n) for n, c in zip(inner, sums.values())])
+    out = out.join(F.broadcast(per), F.col(chunk) == F.col(other), "left")  # a row for each range: as many as the cluster has cores
+    added = [F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))).alias(n) for n, a, b in zip(sums, inner, offset)]
+    return out.select(*df.columns, *added)

@@ -1,20 +1,24 @@
 """Quality rules: statistics of texts, and robust multivariate outliers for each language and source.
 
 A text's statistics become a vector of four: log mean word length, and the square roots of the shares of symbols, of repeated
-lines and of words in repeated word triples. For each (lang, source) the minimum-covariance-determinant estimate of its
-centre and scatter is approached as by deterministic MCD: start from medians and median deviations, then concentrate: keep the
-half of the group's vectors that are nearest, take their mean and covariance, measure anew, a few times over. Equal vectors
-count once, so copies of one text carry no weight by their number. The scatter is made consistent for the normal law (a group
-is estimated well while under half of its distinct vectors are odd), and widened by a floor in each coordinate so that statistics which are almost always the
-same (no symbols at all) don't make a document with one an outlier. A document is rejected if its squared Mahalanobis distance
-is over CUT on the side of bad quality: distances count only coordinates that are above the group's centre, or, for word
-length, off it on either side. The groups of
-a language that have fewer than LEAST distinct vectors of documents which pass the base rule are estimated together; if even these are fewer, they
-reject nothing.
+lines and of words in repeated word triples. The last two shares are taken over LINES lines and WORDS words more than the text
+has, because one repeated line among five says little. For each (lang, source) the minimum-covariance-determinant estimate of
+centre and scatter is searched for as deterministic MCD does: from three starts (median deviations; spatial signs; correlations
+of hyperbolic tangents) concentration steps keep the half of the group's vectors that are nearest, take their mean and
+covariance and measure anew. After FIRST steps the start of least determinant goes on until its determinant falls no more.
+Equal vectors count once, so copies of one text carry no weight by their number. The scatter is made consistent for the normal
+law, and widened by a floor in each coordinate so that statistics which are almost always the same (no symbols at all) don't
+make a document with one an outlier; determinants are those of the widened scatter. A document is rejected if its squared
+Mahalanobis distance is over CUT, the 0.999 quantile of its law for normal vectors, on the side of bad quality: distances count
+only coordinates that are above the group's centre, or, for word length, off it on either side.
+
+The groups of a language that have fewer than LEAST distinct vectors of documents which pass the base rule are estimated
+together; if even these are fewer, they reject nothing. A group whose distinct vectors are odd by half or more breaks down.
 
 Sums, counts and quantile sketches are combined before each shuffle, and estimates meet documents by join_groups, so a source
 with most of the documents is no single task's work. All this runs in Spark's own functions. Null and empty texts have no
-words; null lang or source is a group like any other. Word triples are told apart by a 64-bit hash within one text.
+words; null lang or source is a group like any other, and so is a table without these columns. Word triples are told apart by
+a 64-bit hash within one text. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,51 +26,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import join_groups, keep_rows, row_hash, with_new, written
+from tagloom.llm.common import hidden, join_groups, keep_rows, named, row_hash, with_new, written
 from tagloom.llm.exactdedup import squeezed
+from tagloom.llm.pseudonyms import let
 
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 #: Base rule: fewest words, and most words in repeated triples (in percent).
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Share of a group that is concentrated on, rounds, consistency factor for that share and four coordinates, floors, cut (the chi-square quantile of 0.999 with four degrees) and least group.
-SHARE, ROUNDS, FACTOR, FLOORS, CUT, LEAST = 0.75, 3, 1.486, (0.05, 0.06, 0.10, 0.10), 18.467, 50
-#: Documents are judged by an estimate from half of a group's distinct vectors.
-HALF, HALF_FACTOR = 0.5, 2.109
+#: Lines and words that shares are taken over beside a text's own.
+LINES, WORDS = 20, 100
+#: Share of a group's distinct vectors that is concentrated on, with the consistency factor for it and four coordinates.
+SHARE, FACTOR = 0.5, 2.109
+#: Steps of all starts, steps at most, and the fall of the log determinant that ends them.
+FIRST, MOST, STILL = 2, 12, 1e-3
+#: Floors of the coordinates' deviations, the chi-square quantile of 0.999 with four degrees, and least vectors of a group.
+FLOORS, CUT, LEAST = (0.05, 0.06, 0.10, 0.10), 18.467, 50
 VECTOR = ("z1", "z2", "z3", "z4")
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 
 
+def _repeated(triples: Column) -> Column:
+    """Words that triples (by hash) found twice or more cover, the first included."""
+
+    def covered(placed: Column) -> Column:
+        # equal triples are neighbours here
+        same = lambda k, x: F.coalesce(F.get(placed, k)["h"] == x["h"], F.lit(False))
+        at = F.filter(placed, lambda x, k: same(k + 1, x) | (F.when(k > 0, same(k - 1, x)).otherwise(F.lit(False))))
+        return F.aggregate(
+            F.array_sort(F.transform(at, lambda x: x["i"])),
+            F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
+            lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
+            lambda a: a["n"],
+        )
+
+    placed = F.array_sort(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(triples)) < F.size(triples), let(placed, covered)).otherwise(F.lit(0).cast("long"))
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long)."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    hidden = ["_words", "_triples", "_sorted"]
-    out = docs.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    n = F.size("_words")
-    triples = F.transform(F.slice("_words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
-    out = out.withColumn("_triples", triples)
-    some = F.size(F.array_distinct("_triples")) < F.size("_triples")
-    # triples by hash: equal ones are neighbours
-    placed = F.array_sort(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("_sorted", F.when(some, placed))
-    at = F.filter("_sorted", lambda x, k: (F.get("_sorted", k + 1)["h"] == x["h"]) | F.coalesce(F.when(k > 0, F.get("_sorted", k - 1)["h"] == x["h"]), F.lit(False)))
-    at = F.array_sort(F.transform(at, lambda x: x["i"]))
-    covered = F.aggregate(
-        at,
-        F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
-        lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
-        lambda a: a["n"],
-    )
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("_lines", lines)
+    t = F.coalesce(named(text), F.lit(""))
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        triples = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+        return F.struct(n.cast("long").alias("n"), let(triples, _repeated).alias("repeat"))
+
+    def of_lines(lines: Column) -> Column:
+        return F.struct(F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dup"))
+
+    words, lines = hidden(2)
+    some = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = docs.withColumn(words, let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), of_words)).withColumn(lines, let(some, of_lines))
     new = {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(squeezed(F.col(f"`{text}`"))).cast("long"),
+        "n_words": F.col(f"{words}.n"),
+        "word_chars": F.length(squeezed(named(text))).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+        "n_lines": F.col(f"{lines}.n"),
+        "n_dup_lines": F.col(f"{lines}.dup"),
+        "n_repeat_words": F.col(f"{words}.repeat"),
     }
-    return with_new(out, new).drop(*hidden, "_lines")
+    return with_new(out, new).drop(words, lines)
 
 
 def vector() -> list[Column]:
@@ -74,8 +94,8 @@ def vector() -> list[Column]:
     return [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
         F.sqrt(F.col("n_symbols") / words),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.sqrt(F.col("n_repeat_words") / words),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + LINES)),
+        F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + WORDS)),
     ]
 
 
@@ -100,41 +120,80 @@ def distance(df: DataFrame, off: list[Column]) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, 4)), F.col("_y0") * F.col("_y0"))).drop(*[f"_y{i}" for i in range(4)])
 
 
-def estimates(vectors: DataFrame, keys: list[str], share: float = SHARE, factor: float = FACTOR) -> DataFrame:
-    """Written rows (keys, z1..z4) -> one row a group: keys, n, centre m0..m3, scatter c00..c33 and its factor l00..l33."""
-    name, floor = "mcd", [F.lit(f * f) for f in FLOORS]
+def names() -> list[str]:
+    """The columns of an estimate: centre, scatter and its factor."""
+    return [f"m{i}" for i in range(4)] + [f"{a}{i}{j}" for a in "cl" for i, j in PAIRS]
 
-    def spread(near: list[Column], where: Column) -> list[Column]:
-        z = [F.when(where, x) for x in near]
-        sums = [F.avg(z[i]).alias(f"m{i}") for i in range(4)]
-        return sums + [F.covar_pop(z[i], z[j]).alias(f"c{i}{j}") for i, j in PAIRS]
 
+def widened(estimate: DataFrame, factor: float) -> DataFrame:
+    """Columns m*, c** -> with the scatter made consistent and widened, its factor, and ldet, half its log determinant."""
+    for i, j in PAIRS:
+        c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * factor
+        estimate = estimate.withColumn(f"c{i}{j}", c + FLOORS[i] ** 2 if i == j else c)
+    estimate = with_factor(estimate)
+    return estimate.withColumn("ldet", sum((F.log(f"l{i}{i}") for i in range(1, 4)), F.log("l00")))
+
+
+def starts(vectors: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows (keys, z1..z4) -> a written table with three first estimates of each group, numbered in `start`."""
     z = [F.col(x) for x in VECTOR]
     middle = vectors.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(z[i], 0.5, 1000).alias(f"m{i}") for i in range(4)])
-    middle = written(middle, name)
-    off = join_groups(vectors, middle, keys, "n")
+    off = join_groups(vectors, written(middle, "mcd-middle"), keys, "n", total)
     wide = off.groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(4)], *[F.percentile_approx(F.abs(z[i] - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(4)])
-    first = wide.select(*keys, "n", *[f"m{i}" for i in range(4)], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
-    current = written(widened(first, 1.0, floor), name)
-    for _ in range(ROUNDS):
-        near = join_groups(vectors, current, keys, "n")
-        near = distance(near, [z[i] - F.col(f"m{i}") for i in range(4)])
-        limit = written(near.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("d2", share, 1000).alias("limit"), *[F.first(f"{a}{k}").alias(f"{a}{k}") for a, k in names()]), name)
-        near = distance(join_groups(vectors, limit, keys, "n"), [z[i] - F.col(f"m{i}") for i in range(4)])
-        step = near.groupBy(*keys).agg(F.count("*").alias("n"), *spread(z, F.col("d2") <= F.col("limit")))
-        current = written(widened(step, factor, floor), name)
-    return current
+    wide = wide.select(*keys, "n", *[f"m{i}" for i in range(4)], *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(4)])
+    near = join_groups(vectors, written(wide, "mcd-wide"), keys, "n", total)
+    near = near.select("*", *[((z[i] - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"u{i}") for i in range(4)])
+    length = F.sqrt(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(1, 4)), F.col("u0") * F.col("u0")))
+    near = near.withColumn("length", F.greatest(length, F.lit(1e-9)))
+    sign, tanh = [F.col(f"u{i}") / F.col("length") for i in range(4)], [F.tanh(f"u{i}") for i in range(4)]
+    shapes = near.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("n", *[f"{a}{i}" for a in "ms" for i in range(4)])],
+        *[(4 * F.avg(sign[i] * sign[j])).alias(f"sign{i}{j}") for i, j in PAIRS],
+        *[F.covar_pop(tanh[i], tanh[j]).alias(f"tanh{i}{j}") for i, j in PAIRS],
+    )
+    tanh_scale = lambda i: F.sqrt(F.greatest(F.col(f"tanh{i}{i}"), F.lit(1e-9)))
+    shape = {
+        0: lambda i, j: F.lit(1.0 if i == j else 0.0),
+        1: lambda i, j: F.col(f"sign{i}{j}"),
+        2: lambda i, j: F.lit(1.0) if i == j else F.col(f"tanh{i}{j}") / tanh_scale(i) / tanh_scale(j),
+    }
+    some = F.array(*[F.struct(F.lit(k).alias("start"), *[(of(i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS]) for k, of in shape.items()])
+    first = shapes.select(*keys, "n", *[f"m{i}" for i in range(4)], F.explode(some).alias("one"))
+    return written(widened(first.select(*keys, "n", *[f"m{i}" for i in range(4)], "one.*"), 1.0), "mcd-start")
 
 
-def names() -> list[tuple[str, str]]:
-    return [("m", str(i)) for i in range(4)] + [("l", f"{i}{j}") for i, j in PAIRS]
+def concentrated(vectors: DataFrame, current: DataFrame, keys: list[str], total: int, share: float, factor: float) -> DataFrame:
+    """One concentration step of estimates (keys, start, n, names, ldet): a written table like it, with fell, how far ldet fell."""
+    z, each = [F.col(x) for x in VECTOR], [*keys, "start"]
+    held = ["n", "ldet", *names()]
 
+    def measured(estimate: DataFrame) -> DataFrame:
+        return distance(join_groups(vectors, estimate, keys, "n", total), [z[i] - F.col(f"m{i}") for i in range(4)])
 
-def widened(estimate: DataFrame, factor: float, floor: list[Column]) -> DataFrame:
-    for i, j in PAIRS:
-        c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * factor
-        estimate = estimate.withColumn(f"c{i}{j}", c + floor[i] if i == j else c)
-    return with_factor(estimate)
+    limit = measured(current.select(*each, *held)).groupBy(*each).agg(F.percentile_approx("d2", share, 1000).alias("limit"), *[F.first(c).alias(c) for c in held])
+    near = measured(written(limit, "mcd-limit"))
+    z = [F.when(F.col("d2") <= F.col("limit"), x) for x in z]
+    step = near.groupBy(*each).agg(
+        F.first("n").alias("n"), F.first("ldet").alias("before"), *[F.avg(z[i]).alias(f"m{i}") for i in range(4)], *[F.covar_pop(z[i], z[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+    )
+    return written(widened(step, factor).withColumn("fell", F.col("before") - F.col("ldet")).drop("before"), "mcd-step")
+
+
+def estimates(vectors: DataFrame, keys: list[str], share: float = SHARE, factor: float = FACTOR) -> DataFrame:
+    """Written rows (keys, z1..z4) -> one row a group: keys, n, centre m0..m3, scatter c00..c33 and its factor l00..l33."""
+    total = vectors.count()
+    current = starts(vectors, keys, total)
+    for _ in range(FIRST):
+        current = concentrated(vectors, current, keys, total, share, factor)
+    # the start of least determinant goes on; equally small ones are told apart by their number
+    rest = [c for c in current.columns if c not in keys]
+    best = current.groupBy(*keys).agg(F.min(F.struct("ldet", "start", *[c for c in rest if c not in ("ldet", "start")])).alias("b"))
+    current = written(best.select(*keys, "b.*"), "mcd-best")
+    for _ in range(MOST - FIRST):
+        current = concentrated(vectors, current, keys, total, share, factor)
+        if current.filter(F.col("fell") > STILL).isEmpty():
+            break
+    return current.select(*keys, "n", *names())
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -153,11 +212,11 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("source", F.when(~F.col("pooled"), F.col("source"))), "quality")
     keys = ["lang", "source", "pooled"]
     distinct = written(rows.filter("NOT base_failed").select(*keys, *VECTOR).distinct(), "quality-vectors")
-    good = estimates(distinct, keys, HALF, HALF_FACTOR).withColumnRenamed("n", "n_good")
+    good = estimates(distinct, keys).withColumnRenamed("n", "n_good")
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).alias("g")
     alike = [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     fits = groups.join(good.alias("e"), alike[0] & alike[1] & alike[2], "left")
-    fits = written(fits.select(*[f"g.{k}" for k in keys], "n", "n_good", *[f"{a}{k}" for a, k in names()]), "quality-fits")
+    fits = written(fits.select(*[f"g.{k}" for k in keys], "n", "n_good", *names()), "quality-fits")
     near = join_groups(rows, fits, keys, "n")
     off = [F.col(v) - F.col(f"m{i}") for i, v in enumerate(VECTOR)]
     near = distance(near, [off[0], *[F.greatest(x, F.lit(0.0)) for x in off[1:]]])

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tagloom.llm import quality as q
+from tagloom.llm import queries
 
 
 def brute(text):
@@ -59,24 +60,61 @@ def test_rejects_what_is_odd(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r[4] == "" for r in rows)
 
 
+def step(z, m, cov):
+    d = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(cov), z - m)
+    near = z[d <= np.sort(d)[int(np.ceil(len(z) * q.SHARE)) - 1]]
+    return near.mean(0), np.cov(near.T, bias=True) * q.FACTOR + np.diag(np.square(q.FLOORS))
+
+
+def brute_estimate(z):
+    """The three starts and the concentration steps with numpy; centre, scatter."""
+    n, floor = len(z), np.diag(np.square(q.FLOORS))
+    middle = lambda x: np.sort(x, 0)[int(np.ceil(n / 2)) - 1]
+    m = middle(z)
+    s = np.maximum(middle(abs(z - m)) * 1.4826, q.FLOORS)
+    u = (z - m) / s
+    sign, tanh = u / np.linalg.norm(u, axis=1)[:, None], np.tanh(u)
+    found = []
+    for shape in (np.eye(4), 4 * sign.T @ sign / n, np.corrcoef(tanh.T)):
+        now = m, shape * np.outer(s, s) + floor
+        for _ in range(q.FIRST):
+            now = step(z, *now)
+        found.append(now)
+    now = min(found, key=lambda x: np.linalg.det(x[1]))
+    for _ in range(q.MOST - q.FIRST):
+        before, now = now, step(z, *now)
+        if np.log(np.linalg.det(before[1])) - np.log(np.linalg.det(now[1])) <= 2 * q.STILL:
+            break
+    return now
+
+
+def planted(rng, odd):
+    z = rng.normal([2, 0.1, 0.2, 0.3], [0.1, 0.2, 0.3, 0.1], (500, 4)) @ np.array([[1, 0.3, 0, 0], [0, 1, 0, 0.2], [0, 0, 1, 0], [0, 0, 0.4, 1]])
+    z[:odd] += [3, 2, 1, 2]
+    return z
+
+
 def test_estimate_as_brute_force(spark):
+    """As numpy has it, in several groups at once, and with a determinant hardly over the least of many random starts."""
     rng = np.random.default_rng(1)
-    z = rng.normal([2, 0.1, 0.2, 0.3], [0.1, 0.2, 0.3, 0.1], (500, 4)) @ np.array([[1, 0.3, 0, 0], [0, 1, 0, 0.2], [0, 0, 1, 0], [0, 0, 0.4, 1]])
-    z[:60] += 5
-    df = spark.createDataFrame([("en", None, *map(float, r)) for r in z], "lang string, source string, z1 double, z2 double, z3 double, z4 double")
-    got = q.estimates(df, ["lang", "source"]).first()
-    floor = np.diag(np.square(q.FLOORS))
-    m = np.sort(z, 0)[249]
-    s = np.sort(abs(z - m), 0)[249] * 1.4826
-    cov = np.diag(s**2) + floor
-    for _ in range(q.ROUNDS):
-        d = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(cov), z - m)
-        near = z[d <= np.sort(d)[374]]
-        m, cov = near.mean(0), np.cov(near.T, bias=True) * q.FACTOR + floor
-    assert np.allclose([got[f"m{i}"] for i in range(4)], m, atol=0.02)
-    assert np.allclose([[got[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)], cov, atol=0.02)
-    low = np.array([[got[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
-    assert np.allclose(low @ low.T, [[got[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    groups = {"a": planted(rng, 60), "b": planted(rng, 200), "c": planted(rng, 0)}
+    df = spark.createDataFrame([(k, None, *map(float, r)) for k, z in groups.items() for r in z], "lang string, source string, z1 double, z2 double, z3 double, z4 double")
+    for got in q.estimates(df, ["lang", "source"]).collect():
+        z = groups[got.lang]
+        m, cov = brute_estimate(z)
+        assert np.allclose([got[f"m{i}"] for i in range(4)], m, atol=0.02)
+        scatter = np.array([[got[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+        assert np.allclose(scatter, cov, atol=0.02)
+        low = np.array([[got[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+        assert np.allclose(low @ low.T, scatter)
+        least = np.inf
+        for _ in range(100):
+            some = z[rng.choice(len(z), 5, replace=False)]
+            now = some.mean(0), np.cov(some.T) + np.diag(np.square(q.FLOORS))
+            for _ in range(15):
+                now = step(z, *now)
+            least = min(least, np.linalg.slogdet(now[1])[1])
+        assert np.linalg.slogdet(scatter)[1] < least + 0.05
 
 
 @pytest.mark.parametrize("n", [0, 3])
@@ -105,3 +143,37 @@ def test_repeated_lines_and_many_copies(spark):
     got = {r.doc_id: r for r in q.judge(docs).collect()}
     assert not any(r.base_failed for r in got.values())
     assert [(k, got[i].kept) for i, _, k in rows if got[i].kept != (k == "clean")] == []
+
+
+def test_short_texts_with_a_repeated_line_stay(spark):
+    """One repeated line of seven says little; forty of a hundred and twenty do."""
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.choice([3, 4, 5, 6]))) for _ in range(n))
+    rows = []
+    for i in range(300):
+        lines = [line(9) for _ in range(rng.randrange(6, 12))]
+        rows.append((i, "\n".join([*lines, lines[0]] if i % 3 == 0 else lines)))
+    few = [line(2) for _ in range(40)]
+    rows.append((300, "\n".join(x for y in few for x in (y, line(2), few[0]))))
+    got = {r.doc_id: r.kept for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, kept in got.items() if not kept] == [300]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), 1, 2, 3, 4, {"a": 1})], "doc_id long, text string, _words int, _triples int, _lines int, _id int, m map<string,int>")
+    assert q.keep_good(docs).columns == docs.columns and q.keep_good(docs).first()[2:6] == (1, 2, 3, 4)
+    assert q.statistics(docs).columns[:7] == docs.columns
+
+
+def test_query_on_a_table(spark):
+    """The registered query's base statistics against the plain version, on every document."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op7_quality_rules"](spark, sf)
+    assert got.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = brute(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r.base_failed and r.kept)
