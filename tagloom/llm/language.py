@@ -2,11 +2,13 @@
 
 A text in lower case is cut into character n-grams (ORDERS), hashed into SIZE coordinates. Counts become tf-idf (1 + log of
 the count, times the log inverse share of texts that have the coordinate) of length 1. Text frequencies are counted over all
-texts that may be learned from. The model sees at most TRAIN_ROWS of them, those of least hash of doc_id; each fifth of these
-is kept back to fit a temperature that scores are divided by before softmax, so that they say how often a prediction is right.
+texts that may be learned from. The model sees at most TRAIN_ROWS of them, those of least hash of doc_id; a fifth of these, by
+another hash, is kept back to fit a temperature that scores are divided by before softmax, so that they say how often a
+prediction is right (none if there are fewer than 50).
 
-A text that is null or has no letter is `und` with score 0. If nothing can be learned from, every text is. Learning is one
-task in a fixed order, which gives the same model if it has to run again. Ties go to the language of lesser code point.
+Counts are taken where the documents are. One task then reads them in a fixed order, once for each epoch and at last those
+kept back, and holds one batch at a time; it gives the same model if it has to run again. A text that is null or has no letter
+is `und` with score 0. If nothing can be learned from, every text is. Ties go to the language of lesser code point.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import small_batches, with_struct
+from tagloom.llm.common import named, small_batches, with_struct
 from tagloom.llm.ftrl import Ftrl, bucket_of, least_hashes, probabilities
 
 #: Coordinates of n-grams (one more is the intercept), lengths of n-grams, documents learned from at most, times they are gone through.
@@ -48,9 +50,8 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
-def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and values of a text, length 1, and the intercept."""
-    at, n = counts(text)
+def tfidf(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and values of a text with these counts, length 1, and the intercept."""
     x = (1 + np.log(n)) * idf[at]
     length = np.sqrt((x * x).sum())
     return np.append(at, SIZE), np.append(x / length if length else x, 0.2)
@@ -86,7 +87,7 @@ class Model:
         if self.dense is None:
             self.dense = np.zeros((SIZE + 1, len(self.langs)))
             self.dense.reshape(-1)[self.at] = self.values
-        at, x = tfidf(text, self.idf)
+        at, x = tfidf(*counts(text), self.idf)
         if len(self.langs) == 1:
             return self.langs[0], 1.0
         p = probabilities(x @ self.dense[at] / self.heat)
@@ -94,25 +95,6 @@ class Model:
         return self.langs[best], float(p[best])
 
 
-def fit(texts: list[str], langs: list[str], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
-    names = sorted(set(langs), key=lambda s: s.encode("utf-8"))
-    rows = [(*tfidf(t, idf), names.index(lang)) for t, lang in zip(texts, langs)]
-    keep_back = rows[4::5] if len(rows) >= 50 else []
-    learned = [r for i, r in enumerate(rows) if i % 5 != 4] if keep_back else rows
-    one = np.eye(len(names))
-    model = Ftrl(SIZE + 1, max(2, len(names)), alpha=1.0, l1=0.02, l2=0.001)
-    if len(names) > 1:
-        for _ in range(epochs):
-            for at, x, y in learned:
-                model.learn(at, x, one[y])
-    w = model.weights()[:, : len(names)]
-    scores = np.array([x @ w[at] for at, x, _ in keep_back])
-    heat = temperature(scores, np.array([y for *_, y in keep_back], np.int64)) if len(names) > 1 else 1.0
-    flat = w.reshape(-1)
-    at = np.flatnonzero(flat)
-    return Model(names, idf.astype(np.float32), at, flat[at], heat)
-
-
 def text_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of docs' texts each coordinate occurs, and the number of texts: counted in the tasks, then summed by coordinate."""
 
@@ -133,29 +115,56 @@ def text_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:SIZE], int(out[SIZE])
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def learner(names: list[str], rate: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Ftrl:
+    return Ftrl(SIZE + 1, max(2, len(names)), alpha=rate, l1=l1, l2=l2)
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
     """A model learned from docs (doc_id, text, lang); rows with a null among them are left out."""
     known = docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     having, n = text_frequencies(known)
     idf = np.log((1 + n) / (1 + having)) + 0.1
     sample = least_hashes(known, "doc_id", rows)
+    # languages of the bounded sample: rows at most
+    sizes = dict(sample.groupBy("lang").count().collect())
+    names, some = sorted(sizes, key=lambda x: x.encode("utf-8")), sum(sizes.values()) >= 50
+    if not names:
+        return Model([], idf.astype(np.float32), np.zeros(0, np.int64), np.zeros(0), 1.0)
+    if len(names) == 1:
+        return Model(names, idf.astype(np.float32), np.zeros(0, np.int64), np.zeros(0), 1.0)
+
+    @arrow_udf("struct<at:binary,n:binary>")
+    def counted(texts: pa.Array) -> pa.Array:
+        got = [counts(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([c.astype(np.int64).tobytes() for _, c in got], pa.binary())], ["at", "n"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        held = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        if held:
-            model = fit([t for t, _ in held], [lang for _, lang in held], idf)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.langs, model.at, model.values, model.heat))])], ["model"])
-
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "lang", "text").select("text", "lang")
-    got = ordered.mapInArrow(learn, "model binary").first()
-    if got is None:
-        return Model([], idf.astype(np.float32), np.zeros(0, np.int64), np.zeros(0), 1.0)
+        m, one, held, truth, w = learner(names), np.eye(len(names)), [], [], None
+        for batch in batches:
+            for aside, lang, at, c in zip(*[x.to_pylist() for x in batch.columns]):
+                y = names.index(lang)
+                at, x = tfidf(np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(c, np.int64), idf)
+                if not aside:
+                    m.learn(at, x, one[y])
+                    continue
+                w = m.weights() if w is None else w
+                held.append(x @ w[at])
+                truth.append(y)
+        flat = m.weights().reshape(-1)
+        at = np.flatnonzero(flat)
+        heat = temperature(np.array(held), np.array(truth, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((at, flat[at], heat))])], ["model"])
+
+    aside = F.lit(some) & (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0)
+    taken = small_batches(sample).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", aside.alias("aside"), counted("text").alias("c"))
+    taken = taken.withColumn("epoch", F.explode(F.when(F.col("aside"), F.array(F.lit(epochs + 1))).otherwise(F.sequence(F.lit(1), F.lit(epochs)))))
+    ordered = taken.repartition(1).sortWithinPartitions("epoch", "h", "doc_id", "lang", "c").select("aside", "lang", "c.at", "c.n")
     import pickle
 
-    langs, at, values, heat = pickle.loads(bytes(got["model"]))
-    return Model(langs, idf.astype(np.float32), at, values, heat)
+    at, values, heat = pickle.loads(bytes(ordered.mapInArrow(learn, "model binary").first()["model"]))
+    return Model(names, idf.astype(np.float32), at, values, heat)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -166,7 +175,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         got = [model.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["lang_pred", "score"])
 
-    return with_struct(small_batches(docs), run(F.col(f"`{text}`")), ["lang_pred", "score"])
+    return with_struct(small_batches(docs), run(named(text)), ["lang_pred", "score"])
 
 
 def held_out(column: str = "doc_id", n: int = 3, fold: int = 1) -> Column:
