@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import mixing
+from tagloom.llm import mixing, queries
 
 
 def brute_targets(sizes):
@@ -35,14 +35,15 @@ def test_targets(spark, sizes):
 
 def brute_taken(rows, plan, order, block):
     """The schedule by plain loops; order: documents of each source as laid out."""
-    total, shares, at = sum(plan.values()), [], 0.0
+    units = {s: math.floor(t * mixing.UNITS + 0.5) for s, t in plan.items()}
+    words, total, shares, at = sum(plan.values()), sum(units.values()), [], 0
     for s in sorted(plan, key=lambda s: (s is None, s)):
-        if plan[s] > 0:
-            shares.append((s, at / total, (at + plan[s]) / total))
-            at += plan[s]
+        if units[s] > 0:
+            shares.append((s, at / total, (at + units[s]) / total))
+            at += units[s]
     rank, takes = {}, {}
     size = {s: sum(n for d, n in order[s]) for s in order}
-    for j in range(round(total / block)):
+    for j in range(round(words / block)):
         turn = (j >> 20) * mixing.PHI_UPPER
         turn = turn - math.floor(turn) + ((j & 1048575) + 0.5) * mixing.PHI
         point = turn - math.floor(turn)
@@ -97,3 +98,38 @@ def test_edges(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     got = mixing.mix(spark.createDataFrame([(None, None, None, 1), (1, "a", "x y", 1), (1, "a", "x y", 1)], schema)).collect()
     assert len(got) == 3 and all(r.taken <= 2 * r.size for r in got)
+
+
+def test_as_many_sources_as_documents(spark):
+    """No window sees all sources: ranges are summed first. Every source has its target, null among them."""
+    n = 700
+    docs = spark.createDataFrame([(i, f"s{i:04}" if i else None, "w " * (i % 40 + 1)) for i in range(n)], "doc_id long, source string, text string")
+    got = {r.source: r for r in mixing.mix(docs, block=4).collect()}
+    want = brute_targets({f"s{i:04}" if i else None: i % 40 + 1 for i in range(n)})
+    assert got.keys() == want.keys() and all(math.isclose(got[s].target, want[s], rel_tol=1e-9) for s in want)
+    assert all(r.taken <= 2 * r.size for r in got.values())
+    assert abs(sum(r.taken for r in got.values()) - sum(want.values())) < 0.1 * sum(want.values())
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "a", "x y z", 1, 2, 3, {"k": i}) for i in range(30)], "doc_id long, source string, text string, _id int, _row int, _times int, m map<string,int>")
+    out = mixing.repeat_documents(docs, block=3)
+    assert out.columns == docs.columns and {r._times for r in out.collect()} == {3} and 40 <= out.count() <= 50
+
+
+def test_query_on_a_table(spark):
+    """The registered query's sizes, targets and bounds on every document, and each source's words near its target."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op9_source_mix"](spark, sf)
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    docs, rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}, got.collect()
+    sizes, taken, targets = {}, {}, {}
+    for r in rows:
+        s = docs[r.doc_id].source
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or "")) and 0 <= r.taken <= 2 * r.size
+        sizes[s], taken[s] = sizes.get(s, 0) + r.size, taken.get(s, 0) + r.taken
+        targets.setdefault(s, set()).add((r.source_size, r.target))
+    want = brute_targets(sizes)
+    assert len(rows) == len(docs) and all(len(v) == 1 for v in targets.values())
+    for s, (pair,) in ((s, tuple(v)) for s, v in targets.items()):
+        assert pair[0] == sizes[s] and math.isclose(pair[1], want[s], rel_tol=1e-9) and abs(taken[s] - want[s]) <= 8 * mixing.BLOCK
