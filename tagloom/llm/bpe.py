@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import small_batches, with_struct
+from tagloom.llm.common import named, small_batches, with_struct
 
 #: Pieces kept in a worker's two cache generations, and the longest piece (in characters) that is kept.
 CACHE_PIECES, CACHE_LENGTH = 120_000, 40
@@ -141,6 +141,15 @@ def joined(packed: bytes, bytes_of: dict[int, bytes]) -> bytes:
     return b"".join([b"".join([bytes_of[i] for i in struct.unpack(f"<{len(part) // 4}I", part)]) for part in parts])
 
 
+def bytes_or_none(packed: bytes | None, bytes_of: dict[int, bytes]) -> bytes | None:
+    if len(packed or b"") % 4:
+        return None
+    try:
+        return joined(packed or b"", bytes_of)
+    except KeyError:
+        return None
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 _TABLES: dict[str, dict[int, bytes]] = {}
 
@@ -168,18 +177,19 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
         ids = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
         return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "token_ids"])
 
-    return with_struct(small_batches(df), run(F.col(f"`{text}`")), ["n_tokens", "token_ids"])
+    return with_struct(small_batches(df), run(named(text)), ["n_tokens", "token_ids"])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
-    """df with decoded (binary): the bytes that the packed ids stand for; null ids count as none."""
+    """df with decoded (binary): the bytes that the packed ids stand for; null ids count as none. Where an id is not in the
+    vocabulary, or the packed bytes are no whole ids, decoded is null."""
 
     @arrow_udf("binary")
     def run(packed: pa.Array) -> pa.Array:
         table = table_of(path)
-        return pa.array([joined(x.as_py(), table) if x.is_valid else b"" for x in packed], pa.binary())
+        return pa.array([bytes_or_none(x.as_py(), table) for x in packed], pa.binary())
 
-    return with_struct(small_batches(df), F.struct(run(F.col(f"`{ids}`")).alias("decoded")), ["decoded"])
+    return with_struct(small_batches(df), F.struct(run(named(ids)).alias("decoded")), ["decoded"])
 
 
 def ids_array(packed: bytes) -> list[int]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tagloom.llm.common import small_batches, with_struct
+from tagloom.llm.common import named, small_batches, with_struct
 
 # The base phrases and their labels, and this operator's own.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -232,4 +232,4 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         s = scanner()
         return pa.array([s.scan(t.as_py()) for t in texts], _TYPE)
 
-    return with_struct(small_batches(df), run(F.col(f"`{text}`")), FIELDS)
+    return with_struct(small_batches(df), run(named(text)), FIELDS)

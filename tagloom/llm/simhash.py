@@ -11,6 +11,10 @@ search starts at the root and adds up differences in the bits that each node new
 limit is left out whole, and so is a group that is already known to be in the query's component. A bucket yields a star of
 links for each component it sees, never all pairs.
 
+Beyond a few bits, chance brings unlike texts together in a large corpus. So links may be held to a second fingerprint, of
+longer shingles, that has to agree within bits of its own (`check`); it is looked at where the search has found a pair, and the
+search goes on as if other pairs were none. The corpus pipeline links this way.
+
 Components over all buckets come from alternating large-star and small-star steps on the links, in tables in the shared
 folder, so that lost executors cost no more than a step. A null text counts as empty (fingerprint 0); null doc_ids
 take part, and a component whose doc_ids are all null has a null id.
@@ -31,6 +35,8 @@ from tagloom.llm.common import has_repeats, join_groups, keep_rows, row_hash, sm
 
 #: Bits that may differ, words of a shingle, and how many blocks the bits are cut into.
 BITS, SHINGLE, BLOCKS = 2, 3, 6
+#: Codes of a bucket that blocks are chosen for, as a power of two.
+BUCKET = 6
 #: Children of a node; pairs of query and node held at a time; rows of whole buckets searched at a time; queries of the first slice.
 FAN, FRONTIER, ROWS, FIRST = 8, 1 << 19, 1 << 18, 256
 
@@ -95,11 +101,18 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
+def blocks_for(n: int, bits: int) -> int:
+    """How many blocks to cut the bits into: so many that chance alone would bring few of n codes into a bucket. The links are
+    the same for any number."""
+    return next(b for b in range(bits + 2, 65) if b == bits + 8 or 64 * (b - bits) / b + BUCKET >= n.bit_length())
+
+
 class GrayIndex:
-    """Hierarchical indexes of many buckets at once. codes: uint64, by bucket and Gray rank; starts: where buckets begin."""
+    """Hierarchical indexes of many buckets at once. codes: uint64, by bucket and Gray rank; starts: where buckets begin.
+    second: another fingerprint of each, that has to agree within second_bits too."""
 
-    def __init__(self, codes: np.ndarray, starts: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, second: np.ndarray | None = None, second_bits: int = 0):
+        self.codes, self.second, self.second_bits = codes, second, second_bits
         n = len(codes)
         bucket = np.zeros(n, np.int64)
         bucket[starts[1:]] = 1
@@ -161,6 +174,9 @@ class GrayIndex:
             if not len(q):
                 continue
             if level == 0:
+                if self.second is not None:
+                    both = np.bitwise_count(self.second[q] ^ self.second[node]) <= self.second_bits
+                    q, node = q[both], node[both]
                 found_a.append(q)
                 found_b.append(node)
                 held += len(q)
@@ -175,45 +191,50 @@ class GrayIndex:
         return merge(label, np.concatenate(found_a), np.concatenate(found_b)) if found_a else label
 
 
-def stars(batches: Iterator[pa.RecordBatch], bits: int = BITS) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, key, code), sorted by choice, key and Gray rank -> links (a, b), a star for each component of a bucket."""
+def stars(batches: Iterator[pa.RecordBatch], bits: int = BITS, second_bits: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (choice, key, node, code and, if second_bits are given, second), sorted by choice, key and Gray rank -> links (a, b)
+    of nodes, a star for each component of a bucket."""
 
-    def links(choice: np.ndarray, key: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(choice: np.ndarray, key: np.ndarray, node: np.ndarray, code: np.ndarray, *second: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.append(True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(code)))
-        code = code[np.repeat(size > 1, size)]
+        several = np.repeat(size > 1, size)
+        node, code = node[several], code[several]
         size = size[size > 1]
         if len(size):
-            label = GrayIndex(code.view(np.uint64), np.cumsum(size) - size).components(bits)
+            other = (second[0][several].view(np.uint64), second_bits) if second else ()
+            label = GrayIndex(code.view(np.uint64), np.cumsum(size) - size, *other).components(bits)
             moved = np.flatnonzero(label != np.arange(len(code)))
             if len(moved):
-                pairs = np.unique(np.stack([code[moved], code[label[moved]]], 1), axis=0)
+                pairs = np.unique(np.stack([node[moved], node[label[moved]]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     waiting: list[tuple[np.ndarray, ...]] = []
     held = 0
     for batch in batches:
-        waiting.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+        waiting.append(tuple(c.to_numpy() for c in batch.columns))
         held += batch.num_rows
         if held >= ROWS:
-            choice, key, code = (np.concatenate(x) for x in zip(*waiting))
-            end = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
+            rows = [np.concatenate(x) for x in zip(*waiting)]
+            end = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
             if len(end):
                 cut = end[-1] + 1
-                yield from links(choice[:cut], key[:cut], code[:cut])
-                choice, key, code = choice[cut:], key[cut:], code[cut:]
-            waiting, held = [(choice, key, code)], len(code)
+                yield from links(*[x[:cut] for x in rows])
+                rows = [x[cut:] for x in rows]
+            waiting, held = [tuple(rows)], len(rows[0])
     if held:
-        yield from links(*(np.concatenate(x) for x in zip(*waiting)))
+        yield from links(*[np.concatenate(x) for x in zip(*waiting)])
 
 
-def links(codes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct codes (column code) -> links (a, b) whose components are those of all pairs within `bits` bits."""
+def links(codes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, second_bits: int | None = None) -> DataFrame:
+    """Codes (node, code and, if second_bits are given, second) -> links (a, b) of nodes, whose components are those of all pairs
+    within `bits` bits (and second_bits)."""
     masks = F.array(*[F.lit(m) for m in block_masks(blocks, bits)])
-    dealt = codes.select("code", F.posexplode(masks).alias("choice", "mask"))
-    dealt = dealt.select("choice", F.col("code").bitwiseAND(F.col("mask")).alias("key"), "code", gray_rank(F.col("code")).alias("rank"))
-    dealt = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key", "rank").select("choice", "key", "code")
-    return dealt.mapInArrow(lambda batches: stars(batches, bits), "a bigint, b bigint")
+    names = ["node", "code", *([] if second_bits is None else ["second"])]
+    dealt = codes.select(*names, F.posexplode(masks).alias("choice", "mask"))
+    dealt = dealt.select("choice", F.col("code").bitwiseAND(F.col("mask")).alias("key"), *names, gray_rank(F.col("code")).alias("rank"))
+    dealt = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key", "rank").select("choice", "key", *names)
+    return dealt.mapInArrow(lambda batches: stars(batches, bits, second_bits), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,31 +260,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Written rows (doc_id, row, code) -> code, n (its rows), component_id, and keep_row, the row of the component that stays."""
+def classes(prints: DataFrame, bits: int = BITS, second_bits: int | None = None) -> DataFrame:
+    """Written rows (doc_id, row, code and, if second_bits are given, second) -> a row for each code (and second) with n (its
+    rows), component_id, and keep_row, the row of the component that stays."""
+    keys = ["code", *([] if second_bits is None else ["second"])]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    codes = written(prints.groupBy("code").agg(F.count("*").alias("n"), first.alias("first")), "codes")
-    roots = components(links(codes, bits))
-    joined = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "n", "first", F.coalesce("root", "code").alias("root"))
+    codes = prints.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("first"))
+    # a code is its own name; with a second it goes by the row that stands for it
+    codes = written(codes.withColumn("node", F.col("code") if second_bits is None else F.col("first.row")), "codes")
+    roots = components(links(codes, bits, BLOCKS if bits == BITS else blocks_for(codes.count(), bits), second_bits)).withColumnRenamed("node", "linked")
+    joined = codes.join(roots, codes["node"] == roots["linked"], "left").select(*keys, "n", "first", F.coalesce("root", "node").alias("root"))
     joined = written(joined, "roots")
     ids = written(joined.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members")), "components")
-    return join_groups(joined, ids, ["root"], "members").select("code", "n", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keep_row"))
+    return join_groups(joined, ids, ["root"], "members").select(*keys, "n", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keep_row"))
 
 
-def prints_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def prints_of(docs: DataFrame, shingle: int = SHINGLE, second: int | None = None) -> DataFrame:
     ids = [F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), row_hash(docs).alias("row_hash")]
-    return written(small_batches(docs).select(*ids, fingerprints(F.col("text"), shingle).alias("code")), "fingerprints")
+    more = [] if second is None else [fingerprints(F.col("text"), second).alias("second")]
+    return written(small_batches(docs).select(*ids, fingerprints(F.col("text"), shingle).alias("code"), *more), "fingerprints")
+
 
+def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, check: tuple[int, int] | None = None) -> DataFrame:
+    """One row a document: doc_id, row, row_hash, fingerprint (16 hex digits), component_id, kept (one row of a component is).
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row a document: doc_id, row, row_hash, fingerprint (16 hex digits), component_id, kept (one row of a component is)."""
-    prints = prints_of(docs, shingle)
-    out = join_groups(prints, written(classes(prints, bits), "classes"), ["code"], "n")
+    check: words of the second fingerprint's shingles, and the bits in which it may differ.
+    """
+    second, second_bits = check or (None, None)
+    prints = prints_of(docs, shingle, second)
+    out = join_groups(prints, written(classes(prints, bits, second_bits), "classes"), ["code", *(["second"] if check else [])], "n")
     digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
     return out.select("doc_id", "row", "row_hash", digits.alias("fingerprint"), "component_id", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, check: tuple[int, int] | None = None) -> DataFrame:
     """docs with one row of each component; columns as they were."""
-    decided = written(near_duplicates(docs, bits), "near-decided")
+    decided = written(near_duplicates(docs, bits, shingle, check), "near-decided")
     return keep_rows(docs, decided.filter("kept"), has_repeats(decided))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -6,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagloom.llm import bpe
+from tagloom.llm import bpe, queries
 
 PLACE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.read_ranks(PLACE)
@@ -56,3 +57,21 @@ def test_frame(spark):
     assert rows[1].n_tokens == len(LIBRARY.encode_ordinary("hello world")) and bytes(rows[1].decoded) == b"hello world"
     assert rows[2].n_tokens == 0 and bytes(rows[2].token_ids) == b""
     assert bpe.encode(df.limit(0), PLACE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_unknown_ids(spark):
+    df = spark.createDataFrame([(1, CODEC.encode("hello")), (2, b"\xff\xff\xff\x7f"), (3, b"\x01"), (4, None)], "doc_id long, token_ids binary")
+    got = {r.doc_id: None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(df, PLACE).collect()}
+    assert got == {1: b"hello", 2: None, 3: None, 4: b""}
+
+
+def test_query_on_a_table(spark):
+    """The registered query's counts and hashes against the library, on every whole text."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op1_byte_bpe"](spark, sf)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = LIBRARY.encode_ordinary(r.text or "")
+        want[r.doc_id] = len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want

@@ -8,7 +8,7 @@ import corpus_pipeline
 from tagloom.llm import bpe, simhash
 from tests.llm.test_exactdedup import brute as brute_exact
 from tests.llm.test_quality import brute as brute_stats
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_simhash import both, brute_components, brute_print
 
 
 def corpus():
@@ -46,9 +46,10 @@ def test_run_as_brute_force(spark, tmp_path):
     assert {r.doc_id for r in at["quality_rules"]} == {r[0] for r in left}
     left = [r for i, r in enumerate(left) if brute_exact(left)[i][2]]
     assert sorted(r.doc_id for r in at["exact_dedup"]) == [r[0] for r in left]
-    roots, least = brute_components({brute_print(r[1]) for r in left}), {}
+    keyed = {r[0]: (r[0], brute_print(r[1]), brute_print(r[1], 5)) for r in left}
+    roots, least = brute_components(keyed.values(), lambda a, b: both(a[1:], b[1:], corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_CHECK[1])), {}
     for r in left:
-        root = roots[brute_print(r[1])]
+        root = roots[keyed[r[0]]]
         least[root] = min(r[0], least.get(root, r[0]))
     assert sorted(r.doc_id for r in at["simhash_near_dedup"]) == sorted(least.values())
     mixed = [r.doc_id for r in at["source_mix"]]
