@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tagloom.llm import bpe, exactdedup, mixing, quality, simhash
 from tagloom.llm.common import table, written
 
+#: Near copies link where fingerprints of three-word shingles differ in at most 6 bits, and those of five words in at most 14.
+NEAR_BITS, NEAR_CHECK = 6, (5, 14)
 #: Rank file of the last stage; its place is asked for on the driver and is the same on executors.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that fingerprint links connect: the one of least doc_id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, NEAR_BITS, check=NEAR_CHECK)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
