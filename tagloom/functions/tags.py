@@ -112,6 +112,20 @@ def loose_key(tag: Column) -> Column:
     return F.when(t.rlike(a), F.when(~F.regexp_extract(t, a, 1).isin(LABEL_WORDS), first)).when(t.rlike(b), second)
 
 
+def pair_key(tag: Column) -> Column:
+    """type|number of a tag in either convention, label words too; null for what is no tag."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.upper(tag), r"\s+", ""), r"^\d{2}-", ""), "-", "")
+    a, b = r"^([A-Z]{1,4})(\d{2,4})[A-Z]?$", r"^(\d{2,4})([A-Z]{1,4})$"
+    return F.when(t.rlike(a), F.concat_ws("|", F.regexp_extract(t, a, 1), F.regexp_extract(t, a, 2))).when(t.rlike(b), F.concat_ws("|", F.regexp_extract(t, b, 2), F.regexp_extract(t, b, 1)))
+
+
+def hand_keys(tag: Column) -> Column:
+    """array of the tags that a hand-written one stands for: a leg for each letter of A/B/C, capitals without blanks."""
+    t = F.regexp_replace(F.upper(tag), r"\s+", "")
+    base, suffix = F.regexp_extract(t, r"^(.*\d)([A-Z](?:/[A-Z])+)$", 1), F.regexp_extract(t, r"^(.*\d)([A-Z](?:/[A-Z])+)$", 2)
+    return F.when(suffix != "", legs(base, suffix)).otherwise(F.array(t))
+
+
 def strict_key(tag: Column) -> Column:
     """system:TYPEnumber with its suffix; what is no tag stays as it is without blanks and hyphens."""
     t = F.regexp_replace(F.upper(F.trim(tag)), r"[\s-]+", "")
@@ -148,6 +162,29 @@ def parameter_of(type_code: Column) -> Column:
     return F.when(~type_code.isin(NO_PARAMETER), out)
 
 
+def guarded_deviations(type_code: Column) -> Column:
+    """Deviations that a switch guards, by its letters: PSH high pressure, PSLL low pressure; FSL low and no flow. Else none."""
+    tc = F.upper(F.coalesce(type_code, F.lit("")))
+    letter, way = F.regexp_extract(tc, "^([PLFT])S(HH|LL|H|L)$", 1), F.regexp_extract(tc, "^([PLFT])S(HH|LL|H|L)$", 2)
+    side = F.when(way.startswith("H"), "High").otherwise("Low")
+    table = F.create_map(*[F.lit(x) for k, v in PARAMETERS.items() for x in (k, v.lower())])
+    one = F.array(F.concat_ws(" ", side, F.element_at(table, F.when(letter != "", letter))))
+    return F.when(letter == "", F.array().cast("array<string>")).when((letter == "F") & (side == "Low"), F.array(F.lit("Low flow"), F.lit("No flow"))).otherwise(one)
+
+
+def alarm_capable(type_code: Column, category: Column) -> Column:
+    """Whether a component can ring: measuring and logic functions, safety types, and types with an alarm level in their name."""
+    return category.isin("input", "logic") | type_code.isin(SAFETY_TYPES) | alarm_semantics(type_code)["level"].isNotNull()
+
+
+def engineering_value(type_code: Column, percent: Column) -> Column:
+    """struct(value, unit) of a share of the range that a type's first letter has."""
+    letter = F.upper(F.substring(type_code, 1, 1))
+    top = F.when(letter == "P", 120.0).when(letter == "T", 200.0).when(letter == "F", 500.0).otherwise(100.0)
+    unit = F.when(letter == "P", "barg").when(letter == "T", "°C").when(letter == "F", "m³/h").otherwise("%")
+    return F.struct((top * percent / 100.0).alias("value"), unit.alias("unit"))
+
+
 def tag_shape(tag: Column) -> Column:
     """instrument, valve_line or other, by shape."""
     return F.when(tag.rlike(r"^\d{2}-[A-Z]{2,4}\d{2,4}[A-Z]?$"), "instrument").when(tag.rlike(r"^\d{2}-\d{3,4}[A-Z]{1,4}$"), "valve_line").otherwise("other")

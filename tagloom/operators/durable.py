@@ -1,4 +1,4 @@
-"""Tables that cut lineage: in the folder the cluster names in spark.checkpoint.dir, or a temporary one where it is unset."""
+"""Tables that cut lineage: in the folder the cluster names in spark.checkpoint.dir, or, where the master is local, a temporary one."""
 
 from __future__ import annotations
 
@@ -8,13 +8,38 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to shared storage and read again."""
+def _place(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="tagloom-")
         sc.setCheckpointDir(place)
-    path = f"{place.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    return f"{place.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to shared storage and read again."""
+    path = _place(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that grows by a folder a round, so that what was there is never written again; `round` numbers the folders."""
+
+    def __init__(self, first: DataFrame):
+        self.path, self.schema, self.spark, self.last = _place(first), first.schema, first.sparkSession, -1
+        self.add(first)
+
+    def add(self, new: DataFrame) -> DataFrame:
+        """Write the next round's rows; returns them."""
+        self.last += 1
+        here = f"{self.path}/round={self.last}"
+        new.select(*self.schema.names).write.parquet(here)
+        return self.spark.read.schema(self.schema).parquet(here)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds, with round (int)."""
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path)

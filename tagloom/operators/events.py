@@ -91,3 +91,58 @@ def fold_steps(lines: DataFrame, group: str, order: str, text: str) -> DataFrame
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     s = lines.withColumn("step", F.last(F.when(number != "", number.cast("int")), ignorenulls=True).over(w)).filter("step IS NOT NULL")
     return s.groupBy(group, "step").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.trim(x[text])), " ").alias("body"))
+
+
+def leader_changes(alarms: DataFrame, group: str, key: str, t: str, tie: str) -> DataFrame:
+    """group, t, tie, leader, before, n: each time another key takes the lead in a group's running count of activations.
+
+    The lead is with the key of most activations so far; a key that only draws level does not take it.
+    """
+    mine, board = Window.partitionBy(group, key).orderBy(t, tie), Window.partitionBy(group).orderBy(t, tie)
+    so_far = board.rowsBetween(Window.unboundedPreceding, -1)
+    a = alarms.select(group, key, t, tie, F.row_number().over(mine).cast("long").alias("n"))
+    # the count that leads grows by one at a time, and the key that makes it grow has it: the last row that made it grow says who leads
+    a = a.withColumn("_best", F.coalesce(F.max("n").over(so_far), F.lit(0)))
+    a = a.withColumn("_lead", F.when(F.col("n") > F.col("_best"), F.col(key)))
+    a = a.withColumn("before", F.last("_lead", ignorenulls=True).over(so_far))
+    return a.filter((F.col("n") > F.col("_best")) & (F.col("before") != F.col(key))).select(group, t, tie, F.col(key).alias("leader"), "before", "n")
+
+
+def watch_events(ticks: DataFrame, group: str, order: str, flood: int = 10) -> DataFrame:
+    """Snapshots of a board (group, order, t, n, leader, explains, isolated array, window) -> group, order, event, told in order.
+
+    start: the first snapshot. leader: another candidate leads, with three alarms or more. first_leader: one leads, none did.
+    consolidation, once: five alarms or more, of which the leader explains seven tenths of the others. flood, once. unexplained:
+    tags that are isolated and were not before, with three alarms or more. complete, once: all of the window, two alarms or more.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.row_number().over(w)
+    leader, n = F.col("leader"), F.col("n")
+    empty = F.array().cast("array<string>")
+    s = ticks.withColumn("_i", place).withColumn("_was", F.lag("leader").over(w))
+    consol = (n >= 5) & leader.isNotNull() & (F.col("explains") >= 0.7 * (n - 1)) & (F.col("_i") > 1)
+    full, over = (n >= flood) & (F.col("_i") > 1), (F.col("t") >= F.col("window")) & (n >= 2)
+    s = s.select("*", consol.alias("_consol"), full.alias("_full"), over.alias("_over"))
+    # what is isolated at the start is not yet known to be
+    s = s.withColumn("_iso", F.when(F.col("_i") > 1, F.col("isolated")).otherwise(empty))
+    s = s.withColumn("_seen", F.coalesce(F.array_distinct(F.flatten(F.collect_list("_iso").over(past))), empty))
+    once = lambda c: F.col(c) & ~F.coalesce(F.max(F.col(c).cast("int")).over(past) == 1, F.lit(False))
+    events = {
+        "start": F.col("_i") == 1,
+        "leader": (F.col("_i") > 1) & leader.isNotNull() & F.col("_was").isNotNull() & (leader != F.col("_was")) & (n >= 3),
+        "first_leader": (F.col("_i") > 1) & leader.isNotNull() & F.col("_was").isNull(),
+        "consolidation": once("_consol"),
+        "flood": once("_full"),
+        "unexplained": (F.col("_i") > 1) & (n >= 3) & (F.size(F.array_except("isolated", "_seen")) > 0),
+        "complete": once("_over"),
+    }
+    told = s.select(group, order, F.array(*[F.when(c, F.lit(k)) for k, c in events.items()]).alias("_e"))
+    return told.select(group, order, F.explode(F.filter("_e", lambda x: x.isNotNull())).alias("event"))
+
+
+def structure_time_verdict(leaders: DataFrame, onsets: DataFrame, group: str) -> DataFrame:
+    """Leaders (group, leader) and onsets (group, tag, onset) -> group, leader, first_mover, agrees: whether what explains most
+    also moved first (of several the least tag)."""
+    first = onsets.groupBy(group).agg(F.min(F.struct("onset", "tag")).alias("_f")).select(group, F.col("_f.tag").alias("first_mover"))
+    return leaders.join(first, group).select(group, "leader", "first_mover", (F.col("leader") == F.col("first_mover")).alias("agrees"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.durable import cut
+from tagloom.operators.durable import Rounds, cut
 
 MAX_ROUNDS = 200
 
@@ -27,19 +27,13 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) ->
     """seed, node, depth: all that can be reached from each seed (column seed), itself left out; depth is the least."""
     e = cut(edges.select("src", "dst").distinct())
     frontier = cut(seeds.select("seed").distinct().withColumn("node", F.col("seed")))
-    visited, found, depth = frontier, None, 0
-    while True:
-        depth += 1
-        if depth > max_rounds:
-            raise RuntimeError(f"closure not finished after {max_rounds} rounds")
+    rounds = Rounds(frontier)
+    for depth in range(1, max_rounds + 2):
         step = frontier.join(e, frontier["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(visited, ["seed", "node"], "left_anti"))
+        frontier = rounds.add(step.join(rounds.all().select("seed", "node"), ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
-        new = frontier.withColumn("depth", F.lit(depth))
-        found = new if found is None else found.unionByName(new)
-        visited = cut(visited.unionByName(frontier))
-    return found if found is not None else frontier.withColumn("depth", F.lit(0))
+            return rounds.all().filter("round > 0").select("seed", "node", F.col("round").alias("depth"))
+    raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -119,6 +113,14 @@ def nearest_anchor(edges: DataFrame, anchors: DataFrame, max_rounds: int = MAX_R
     raise RuntimeError(f"partition not finished after {max_rounds} rounds")
 
 
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, other, side: the successors and predecessors of nodes (column node)."""
+    e = edges.select("src", "dst").distinct()
+    down = nodes.join(e, nodes["node"] == e["src"]).select("node", F.col("dst").alias("other"), F.lit("successor").alias("side"))
+    up = nodes.join(e, nodes["node"] == e["dst"]).select("node", F.col("src").alias("other"), F.lit("predecessor").alias("side"))
+    return down.unionByName(up)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, out_degree, in_degree, degree over distinct edges."""
     e = edges.select("src", "dst").distinct()

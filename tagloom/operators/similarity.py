@@ -41,14 +41,15 @@ def linkage_groups(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def search(index: DataFrame, terms: list[str], system: str | None = None) -> DataFrame:
     """index (stem, system, summary, words, tags) -> stem, score: for each term 3 if the summary has it, else 2 if it is a
-    word, else 1 if a tag has it; 2 more for the system. Only stems that score; by falling score, then stem."""
+    word, else 1 if a tag has it; 2 more for the system. Only stems that score; a report sorts by falling score, then stem."""
     score = F.lit(0)
     for t in terms:
         low = t.lower()
         score = score + F.when(F.lower("summary").contains(low), 3).when(F.array_contains("words", low), 2).when(F.exists("tags", lambda x: F.lower(x).contains(low)), 1).otherwise(0)
     if system:
         score = score + F.when(F.col("system") == system, 2).otherwise(0)
-    return index.select("stem", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "stem")
+    # a generator is evaluated once, where a filter would have the score worked out again
+    return index.select("stem", F.explode(F.filter(F.array(score), lambda s: s > 0)).alias("score"))
 
 
 def composition_distance(items: DataFrame, owner: str, pattern: str) -> DataFrame:
@@ -59,3 +60,16 @@ def composition_distance(items: DataFrame, owner: str, pattern: str) -> DataFram
     s = a.join(b, pattern).filter("a < b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("shared"))
     s = s.join(n.select(F.col(owner).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(owner).alias("b"), F.col("n").alias("nb")), "b")
     return s.select("a", "b", F.round(1 - F.col("shared") / F.greatest("na", "nb"), 6).alias("distance"))
+
+
+def fingerprint_distance(a: Column, b: Column) -> Column:
+    """0 to 1 between two `geometry.fingerprint` structs: half by the ratio of aspects, half by the mean gap of the quantiles."""
+    least, most = F.least(a["aspect"], b["aspect"]), F.greatest(a["aspect"], b["aspect"])
+    aspect = F.when(least > 0, 1 - least / most).when(most > 0, 1.0).otherwise(0.0)
+    gaps = sum((F.abs(a[q] - b[q]) for q in ("q50", "q90")), F.abs(a["q10"] - b["q10"])) / 3
+    return F.least(F.lit(1.0), 0.5 * aspect + 0.5 * gaps)
+
+
+def combined_distance(composition: Column, a: Column, b: Column) -> Column:
+    """Composition counts for six tenths, shape for four."""
+    return 0.6 * composition + 0.4 * fingerprint_distance(a, b)

@@ -45,8 +45,8 @@ def sliding_flood(spark, d):
 def active_set(spark, d):
     """Users with an error in the first half of the time."""
     e = _ev(spark, d)
-    half = e.agg(((F.min("t") + F.max("t")) / 2).alias("now"))
-    return e.filter("event_type = 'error'").groupBy("user_id").agg(F.min("t").alias("first")).crossJoin(F.broadcast(half)).filter("first <= now").select("user_id")
+    now = e.agg((F.min("t") + F.max("t")) / 2).first()[0]
+    return E.active_at(e.filter("event_type = 'error'"), "user_id", "t", F.lit(now)).select("user_id")
 
 
 def drift_warning(spark, d):
@@ -78,13 +78,10 @@ def step_folding(spark, d):
 
 
 def leader_changes(spark, d):
-    """Each time another user takes the lead in a running count of errors per event value band."""
-    from pyspark.sql import Window
-
-    e = _ev(spark, d).select(F.floor(F.col("value") / 25).cast("long").alias("band"), "t", "event_id", "user_id", "event_type")
-    w = Window.partitionBy("band").orderBy("t", "event_id")
-    s = e.withColumn("prev", F.lag("event_type").over(w))
-    return s.filter("prev IS NOT NULL AND prev <> event_type").groupBy("band", "prev", "event_type").agg(F.count("*").alias("n"))
+    """Each time another user takes the lead in a month's running count of errors."""
+    e = _ev(spark, d).filter("event_type = 'error'").select(F.date_format("ts", "yyyy-MM").alias("month"), "user_id", "t", "event_id")
+    c = E.leader_changes(e, "month", "user_id", "t", "event_id")
+    return c.select("month", "event_id", "leader", "before", "n")
 
 
 QUERIES = {f.__name__: f for f in (first_up, arrival_clusters, session_clusters, chatter, flood, sliding_flood, active_set, drift_warning, first_breach, drift_onset, isolated_onsets, step_folding, leader_changes)}
@@ -108,5 +105,8 @@ ORACLES = {
         SELECT event_type, user_id FROM o JOIN m USING (event_type) WHERE abs(t - s[len(s) // 2 + 1]) > 86400""",
     "step_folding": """WITH l AS (SELECT conv_id, turn, trim(CASE WHEN role = 'user' THEN (turn + 1) || '. ' || coalesce(text, '') ELSE coalesce(text, '') END, ' ') AS line, CASE WHEN role = 'user' THEN turn + 1 END AS s FROM conversations),
         f AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS step FROM l) SELECT conv_id, CAST(step AS INT) AS step, sum(length(line))::BIGINT + count(*) - 1 AS n_chars FROM f WHERE step IS NOT NULL GROUP BY ALL""",
-    "leader_changes": f"WITH {_T}, s AS (SELECT CAST(floor(value / 25) AS BIGINT) AS band, event_type, lag(event_type) OVER (PARTITION BY floor(value / 25) ORDER BY t, event_id) AS prev FROM e) SELECT band, prev, event_type, count(*) AS n FROM s WHERE prev IS NOT NULL AND prev <> event_type GROUP BY ALL",
+    "leader_changes": f"""WITH {_T}, r AS (SELECT strftime(ts, '%Y-%m') AS month, user_id, t, event_id FROM e WHERE event_type = 'error'),
+        g AS (SELECT r.*, row_number() OVER (PARTITION BY month, user_id ORDER BY t, event_id) AS n FROM r), b AS (SELECT *, coalesce(max(n) OVER (PARTITION BY month ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM g),
+        l AS (SELECT month, event_id, user_id AS leader, lag(user_id) OVER (PARTITION BY month ORDER BY t, event_id) AS before, n FROM b WHERE n > best)
+        SELECT month, event_id, leader, before, n FROM l WHERE before <> leader""",
 }

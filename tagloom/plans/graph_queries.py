@@ -30,8 +30,8 @@ def closure(spark, d):
 
 
 def ancestors(spark, d):
-    """What holds the parts of size 1."""
-    seeds = read(spark, d, "part").filter("p_size = 1").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
+    """What holds each part."""
+    seeds = read(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
     return G.ancestors(containment(spark, d), seeds)
 
 
@@ -42,9 +42,11 @@ def components(spark, d):
 
 
 def shortest_hops(spark, d):
-    """Fewest undirected steps from each region to each supplier, and the least path."""
-    e = G.undirected(containment(spark, d).filter("dst NOT LIKE 'P%'"))
-    pairs = read(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("src")).join(read(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("dst")))
+    """Fewest undirected steps, over the whole containment graph, from each region to each supplier, and the least path."""
+    e = G.undirected(containment(spark, d))
+    goals = read(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("dst"))
+    starts = read(spark, d, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("src"))
+    pairs = goals.join(F.broadcast(starts), how="cross")  # five regions; the question is about every pair
     return G.shortest_paths(e, pairs).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
@@ -53,12 +55,8 @@ def degree_ranking(spark, d):
 
 
 def neighbours(spark, d):
-    """Predecessors and successors of the parts of size 1."""
-    e = flow_edges(spark, d)
-    a = read(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node"))
-    down = a.join(e, a["node"] == e["src"]).select("node", F.col("dst").alias("other"), F.lit("successor").alias("side"))
-    up = a.join(e, a["node"] == e["dst"]).select("node", F.col("src").alias("other"), F.lit("predecessor").alias("side"))
-    return down.unionByName(up)
+    """Predecessors and successors of all parts."""
+    return G.neighbours(flow_edges(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("node")))
 
 
 def root_cause(spark, d):
@@ -108,13 +106,11 @@ _WITHIN = f"""{FLOW_SQL}, act AS (SELECT p_partkey AS node FROM part WHERE p_siz
 ORACLES = {
     "loop_edges": f"WITH {_LOOPS} SELECT loop, src, dst FROM loops",
     "closure": f"WITH RECURSIVE {CONTAINMENT_SQL}, c AS (SELECT src AS seed, dst AS node, 1 AS depth FROM edges WHERE src LIKE 'R%' UNION SELECT c.seed, e.dst, c.depth + 1 FROM c JOIN edges e ON c.node = e.src) SELECT seed, node, min(depth) AS depth FROM c GROUP BY seed, node",
-    "ancestors": f"WITH RECURSIVE {CONTAINMENT_SQL}, c AS (SELECT 'P' || p_partkey AS seed, src AS node, 1 AS depth FROM part JOIN edges ON dst = 'P' || p_partkey WHERE p_size = 1 UNION SELECT c.seed, e.src, c.depth + 1 FROM c JOIN edges e ON c.node = e.dst) SELECT seed, node, min(depth) AS depth FROM c GROUP BY seed, node",
+    "ancestors": f"WITH RECURSIVE {CONTAINMENT_SQL}, c AS (SELECT 'P' || p_partkey AS seed, src AS node, 1 AS depth FROM part JOIN edges ON dst = 'P' || p_partkey UNION SELECT c.seed, e.src, c.depth + 1 FROM c JOIN edges e ON c.node = e.dst) SELECT seed, node, min(depth) AS depth FROM c GROUP BY seed, node",
     "components": f"""WITH RECURSIVE {_LOOPS}, u AS (SELECT src, dst FROM loops UNION SELECT dst, src FROM loops), r AS (SELECT DISTINCT tag AS a, tag AS b FROM tags UNION SELECT r.a, u.dst FROM r JOIN u ON r.b = u.src)
         SELECT c AS component, count(*) AS n, max(a) AS last FROM (SELECT a, min(b) AS c FROM r GROUP BY a) GROUP BY c""",
-    "shortest_hops": """WITH n AS (SELECT 'R' || r.r_regionkey AS src, 'S' || s_suppkey AS dst, 2 AS hops, 'R' || r.r_regionkey || '>N' || n_nationkey || '>S' || s_suppkey AS path FROM region r JOIN nation ON n_regionkey = r.r_regionkey JOIN supplier ON s_nationkey = n_nationkey)
-        SELECT * FROM n""",
     "degree_ranking": f"WITH {FLOW_SQL} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, count(*) AS degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM flow UNION ALL SELECT dst, 0, 1 FROM flow) GROUP BY node",
-    "neighbours": f"WITH {FLOW_SQL}, a AS (SELECT p_partkey AS node FROM part WHERE p_size = 1) SELECT node, dst AS other, 'successor' AS side FROM a JOIN flow ON node = src UNION ALL SELECT node, src, 'predecessor' FROM a JOIN flow ON node = dst",
+    "neighbours": f"WITH {FLOW_SQL}, a AS (SELECT p_partkey AS node FROM part) SELECT node, dst AS other, 'successor' AS side FROM a JOIN flow ON node = src UNION ALL SELECT node, src, 'predecessor' FROM a JOIN flow ON node = dst",
     "root_cause": f"""WITH RECURSIVE {_WITHIN}, roots AS (SELECT node, (SELECT count(*) FROM rs WHERE seed = act.node) AS explains FROM act WHERE node NOT IN (SELECT node FROM rs)),
         best AS (SELECT rs.node, rs.seed FROM rs JOIN roots ON rs.seed = roots.node QUALIFY row_number() OVER (PARTITION BY rs.node ORDER BY explains DESC, rs.seed) = 1)
         SELECT act.node, roots.node IS NOT NULL OR best.seed IS NULL AS is_root, CASE WHEN roots.node IS NOT NULL OR best.seed IS NULL THEN act.node ELSE best.seed END AS root, coalesce(explains, 0) AS explains

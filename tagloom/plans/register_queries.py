@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import tags as T
+from tagloom.operators import cause_effect as CE
 from tagloom.operators import register as R
 from tagloom.operators import resolve
 from tagloom.plans.shapes import TAGS_SQL, plant_tags, read
@@ -66,14 +68,17 @@ def register_build(spark, d):
 
 
 def extract_tokens(spark, d):
-    """Four-letter words of the documents by language: how often, and in how many documents."""
-    w = read(spark, d, "documents").select("doc_id", "lang", F.explode(F.split("text", "[ \n]")).alias("word")).filter("word RLIKE '^[a-z]{4}$'")
-    return w.groupBy("lang", "word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    """Tags that stand in sentences, one a loop, with the legs of combined ones: found inline, and split for the register."""
+    t = plant_tags(spark, d).groupBy("loop").agg(F.max("tag").alias("a"), F.min("tag").alias("b"), F.min("system").alias("system"), F.min("number").alias("number"))
+    said = F.concat(F.lit("see "), F.col("a"), F.lit(", then "), F.col("system"), F.lit("-"), F.col("number"), F.lit("PV and "), F.col("system"), F.lit("-FT"), F.col("number"), F.lit("A/B; "), F.col("b"), F.lit("."))
+    found = t.select("loop", F.explode(T.inline_tags(said)).alias("tag"))
+    return found.withColumn("s", T.split_tag(F.col("tag"))).select("loop", "tag", "s.system", "s.type", "s.number")
 
 
 def split_brand(spark, d):
-    p = read(spark, d, "part")
-    return p.select("p_partkey", F.regexp_extract("p_brand", r"([A-Za-z]+)#?(\d)(\d)", 1).alias("stem"), F.regexp_extract("p_brand", r"([A-Za-z]+)#?(\d)(\d)", 2).alias("major"), T.validation_key(F.col("p_brand")).alias("vkey"))
+    """The plant's tags as the register splits them, and by the keys of validation and of type and number."""
+    t = plant_tags(spark, d).select("tag").distinct()
+    return t.withColumn("s", T.split_tag(F.col("tag"))).select("tag", "s.system", "s.type", "s.number", T.validation_key(F.col("tag")).alias("vkey"), T.pair_key(F.col("tag")).alias("pair"))
 
 
 def typed_tags(spark, d):
@@ -100,14 +105,20 @@ def resolver_evaluation(spark, d):
     return resolve.evaluate_resolver(plant_tags(spark, d).select("tag"))
 
 
+def _ce_rows(spark, d):
+    """Order lines as cause and effect rows, some in other spellings, some of tags that the register lacks."""
+    t = plant_tags(spark, d).select("id", "tag")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("id"), F.lead("l_partkey").over(w).alias("other"), F.col("l_returnflag").alias("flag"))
+    li = li.filter("other IS NOT NULL").join(t.withColumnRenamed("tag", "cause_tag"), "id").join(t.select(F.col("id").alias("other"), F.col("tag").alias("effect_tag")), "other")
+    spelt = F.when(F.col("flag") == "R", F.lower(F.concat(F.lit(" "), F.substring("cause_tag", 1, 5), F.lit(" "), F.expr("substring(cause_tag, 6)")))).otherwise(F.col("cause_tag"))
+    return li.select("l_orderkey", "l_linenumber", spelt.alias("cause_tag"), "effect_tag", F.when(F.col("flag") == "A", "Ja").otherwise("no").alias("verified"), F.lit("closes").alias("function"))
+
+
 def ce_validate(spark, d):
-    """Order lines as cause and effect rows: supplier and part against registers of rich suppliers and small parts."""
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    s = read(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("cause_ok"))
-    p = read(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("effect_ok"))
-    j = li.join(s, "l_suppkey", "left").join(p, "l_partkey", "left")
-    c, e = F.coalesce("cause_ok", F.lit(False)), F.coalesce("effect_ok", F.lit(False))
-    return j.select("l_orderkey", "l_linenumber", c.alias("cause_ok"), e.alias("effect_ok"), (c & e).alias("ok"))
+    """Cause and effect rows against the register of tags of size up to 40."""
+    v = CE.validate(_ce_rows(spark, d), plant_tags(spark, d).filter("size <= 40"))
+    return v.select("l_orderkey", "l_linenumber", "cause", "effect", "ok", "is_verified")
 
 
 def semi_anti_coverage(spark, d):
@@ -173,8 +184,11 @@ ORACLES = {
     "register_build": """WITH m AS (SELECT DISTINCT c_name AS tag, CASE WHEN o_orderpriority LIKE '1-%' THEN 'PID' ELSE 'SCD' END AS k, year(o_orderdate) || '-' || c_mktsegment AS file FROM orders JOIN customer ON o_custkey = c_custkey)
         SELECT tag, CASE WHEN count(*) FILTER (k = 'PID') > 0 AND count(*) FILTER (k = 'SCD') > 0 THEN 'both' WHEN count(*) FILTER (k = 'PID') > 0 THEN 'pid_only' ELSE 'scd_only' END AS status,
         count(*) FILTER (k = 'PID') AS n_pid, count(*) FILTER (k = 'SCD') AS n_scd, coalesce(string_agg(file, ';' ORDER BY file) FILTER (k = 'PID'), '') AS pid_files, coalesce(string_agg(file, ';' ORDER BY file) FILTER (k = 'SCD'), '') AS scd_files FROM m GROUP BY tag""",
-    "extract_tokens": r"SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(text, '[ \n]')) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]{4}') GROUP BY ALL",
-    "split_brand": r"SELECT p_partkey, regexp_extract(p_brand, '([A-Za-z]+)#?(\d)(\d)', 1) AS stem, regexp_extract(p_brand, '([A-Za-z]+)#?(\d)(\d)', 2) AS major, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS vkey FROM part",
+    "extract_tokens": f"""WITH {TAGS_SQL}, g AS (SELECT loop, min(system) AS s, min(number) AS n, max(tag) AS a, min(tag) AS b FROM tags GROUP BY loop),
+        x AS (SELECT DISTINCT loop, s, n, unnest([a, b, s || '-' || n || 'PV', s || '-FT' || n || 'A', s || '-FT' || n || 'B']) AS tag FROM g)
+        SELECT loop, tag, s AS system, CASE WHEN regexp_matches(tag, '-[0-9]') THEN 'PV' ELSE regexp_extract(tag, '-([A-Z]+)', 1) END AS type,
+        CASE WHEN regexp_matches(tag, '-[0-9]') THEN n ELSE regexp_extract(tag, '-[A-Z]+(.*)', 1) END AS number FROM x""",
+    "split_brand": f"WITH {TAGS_SQL} SELECT DISTINCT tag, system, type_code AS type, number || suffix AS number, system || type_code || number || suffix AS vkey, type_code || '|' || number AS pair FROM tags",
     "typed_tags": f"""WITH {TAGS_SQL} SELECT tag, system, type_code, number, suffix, {_CATEGORY} AS category, loop, system || ':' || type_code || number || suffix AS strict, type_code || '|' || number AS loose, 'instrument' AS shape,
         CASE WHEN regexp_matches(type_code, '(A|S)(HH|H)$') THEN 'high' WHEN regexp_matches(type_code, '(A|S)(LL|L)$') THEN 'low' END AS direction, CAST({_PRIORITY} AS INT) AS priority,
         CASE WHEN type_code IN {_IN(T.NO_PARAMETER)} THEN NULL ELSE CASE left(type_code, 1) WHEN 'P' THEN 'Pressure' WHEN 'L' THEN 'Level' WHEN 'F' THEN 'Flow' WHEN 'T' THEN 'Temperature' END END AS parameter
@@ -187,8 +201,10 @@ ORACLES = {
         CASE WHEN exact_tag IS NULL AND k.ts IS NULL THEN coalesce(array_to_string(s.ts, ','), '') ELSE '' END AS candidates
         FROM vv LEFT JOIN x ON regexp_replace(upper(raw), '[\\s-]+', '', 'g') = norm LEFT JOIN k USING (system, type_code, number, suffix) LEFT JOIN s USING (system, type_code, number)""",
     "resolver_evaluation": f"WITH {_VARIANTS} SELECT style, count(*) AS hit, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS ambiguous, CAST(0 AS BIGINT) AS miss FROM vv GROUP BY style",
-    "ce_validate": """SELECT l_orderkey, l_linenumber, coalesce(s_acctbal > 0, false) AS cause_ok, coalesce(p_size <= 25, false) AS effect_ok, coalesce(s_acctbal > 0, false) AND coalesce(p_size <= 25, false) AS ok
-        FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey""",
+    "ce_validate": f"""WITH {TAGS_SQL}, li AS (SELECT l_orderkey, l_linenumber, l_partkey AS id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS other, l_returnflag AS f FROM lineitem),
+        r AS (SELECT li.*, a.tag AS ca, a.size AS sa, b.tag AS cb, b.size AS sb FROM li JOIN tags a ON a.id = li.id JOIN tags b ON b.id = other),
+        known AS (SELECT DISTINCT tag FROM tags WHERE size <= 40)
+        SELECT l_orderkey, l_linenumber, x.tag AS cause, y.tag AS effect, x.tag IS NOT NULL AND y.tag IS NOT NULL AS ok, f = 'A' AS is_verified FROM r LEFT JOIN known x ON x.tag = ca LEFT JOIN known y ON y.tag = cb""",
     "semi_anti_coverage": """SELECT c_nationkey, count(*) AS n, 'with_orders' AS kind FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1 UNION ALL
         SELECT c_nationkey, count(*), 'without' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1 UNION ALL
         SELECT c_nationkey, count(*), 'no_large' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) GROUP BY 1""",

@@ -18,11 +18,27 @@ def _shown(df):
     return df.select("rule", "severity", "section", F.array_join("tags", ",").alias("tags"))
 
 
-def rule_findings(spark, d):
-    """R1, R2, R3, R8, R9, R13, R14, R15 and R16, loops as sections and loop order as the graph."""
+def _objects(spark, d):
+    """The plant's tags, untyped equipment for those of size 50, and those of size 49 again with a zero before the number."""
     t = plant_tags(spark, d)
-    reach = G.closure(_loops(spark, d), t.select(F.col("tag").alias("seed"))).select("seed", "node")
-    found = R.screen_sections(t).unionByName(R.screen_paths(t, reach)).unionByName(R.screen_loops(t)).unionByName(R.screen_controllers(t, reach)).unionByName(R.screen_tags(t))
+    bare = t.filter("size = 50").select("id", *[F.lit("").alias(c) for c in ("system", "type_code", "number", "suffix")], "size", F.concat(F.lit("EQ-"), F.col("id").cast("string")).alias("tag"))
+    again = t.filter("size = 49").withColumn("number", F.concat(F.lit("0"), F.col("number"))).withColumn("tag", F.concat("system", F.lit("-"), "type_code", "number", "suffix"))
+    bare, again = bare.withColumn("loop", F.col("tag")), again.withColumn("loop", F.concat_ws("-", "system", "number"))
+    return t.unionByName(bare).unionByName(again)
+
+
+_OBJECTS = """obj AS (SELECT id, system, type_code, number, suffix, size, tag, loop FROM tags UNION ALL
+  SELECT id, '', '', '', '', size, 'EQ-' || id, 'EQ-' || id FROM tags WHERE size = 50 UNION ALL
+  SELECT id, system, type_code, '0' || number, suffix, size, system || '-' || type_code || '0' || number || suffix, system || '-0' || number FROM tags WHERE size = 49)"""
+_SHOWN = "array_to_string(list_sort(list(DISTINCT tag))[1:8], ',')"
+
+
+def rule_findings(spark, d):
+    """R1, R2, R3, R8, R9, R13, R14, R15 and R16, loops as sections and loop order as the graph, which lacks lone tags."""
+    t, edges = _objects(spark, d), _loops(spark, d)
+    reach = G.cut(G.closure(edges, t.select(F.col("tag").alias("seed"))).select("seed", "node"))
+    vertices = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    found = R.screen_sections(t).unionByName(R.screen_paths(t, reach, vertices)).unionByName(R.screen_loops(t)).unionByName(R.screen_controllers(t, reach)).unionByName(R.screen_tags(t))
     return _shown(R.dedupe(found))
 
 
@@ -106,7 +122,8 @@ def similarity_groups(spark, d):
 
 
 def composition_distance(spark, d):
-    return S.composition_distance(read(spark, d, "lineitem").filter("l_quantity <= 10").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("pattern", F.concat_ws("/", "p_brand", "p_type")), "l_suppkey", "pattern")
+    """Suppliers by the brand and type of all their lines."""
+    return S.composition_distance(read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("pattern", F.concat_ws("/", "p_brand", "p_type")), "l_suppkey", "pattern")
 
 
 def ranked_search(spark, d):
@@ -135,21 +152,26 @@ _WS = f"""{TAGS_SQL}, o AS (SELECT *, {_CAT} AS category, {_PARAM} AS parameter
     FROM pn JOIN dev ON pn.parameter = dev.parameter)"""
 _COS = "p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id)"
 ORACLES = {
-    "rule_findings": f"""WITH RECURSIVE {_LOOPS}, reach AS (SELECT src AS seed, dst AS node FROM loops UNION SELECT r.seed, l.dst FROM reach r JOIN loops l ON r.node = l.src),
+    "rule_findings": f"""WITH RECURSIVE {_LOOPS}, {_OBJECTS}, reach AS (SELECT src AS seed, dst AS node FROM loops UNION SELECT r.seed, l.dst FROM reach r JOIN loops l ON r.node = l.src),
         s AS (SELECT loop, count(*) AS n, {_AGG} FILTER (type_code IN {_IN(R.PRESSURE)}) AS p, {_AGG} FILTER (type_code IN {_IN(R.RELIEF)}) AS r, {_AGG} FILTER (type_code IN {_IN(R.PRESSURE_MEASURED)}) AS m, {_AGG} AS al,
-          {_AGG} FILTER (regexp_full_match(type_code, '[A-Z]{{1,3}}IC')) AS c, count(*) FILTER (type_code IN {_IN(R.FINAL)}) AS f, count(*) FILTER (type_code IN {_IN(R.POSITION)}) AS pos FROM tags GROUP BY loop)
+          count(*) FILTER (type_code IN {_IN(R.FINAL)}) AS f, count(*) FILTER (type_code IN {_IN(R.POSITION)}) AS pos FROM obj GROUP BY loop),
+        typed AS (SELECT * FROM obj WHERE type_code <> '' AND number <> ''), ctrl AS (SELECT * FROM obj WHERE regexp_full_match(type_code, '[A-Z]{{1,3}}IC') AND loop IN (SELECT loop FROM s WHERE f = 0)),
+        served AS (SELECT ctrl.loop FROM ctrl JOIN reach ON seed = ctrl.tag JOIN obj o ON o.tag = node WHERE o.type_code IN {_IN(R.FINAL)}),
+        lonely AS (SELECT system || '-' || type_code || number || min(suffix) AS tag FROM typed GROUP BY system, type_code, number HAVING count(DISTINCT suffix) = 1 AND min(suffix) IN {_IN(R.LEGS)}),
+        same AS (SELECT unnest(list(DISTINCT tag)) AS tag FROM typed GROUP BY system, type_code, CAST(number AS INT), suffix HAVING count(DISTINCT tag) > 1)
         SELECT 'R1' AS rule, 'high' AS severity, loop AS section, p AS tags FROM s WHERE p IS NOT NULL AND r IS NULL UNION ALL
         SELECT 'R3', 'low', loop, al FROM s WHERE n >= 4 AND p IS NULL AND r IS NULL UNION ALL
         SELECT 'R13', 'medium', loop, r FROM s WHERE r IS NOT NULL AND m IS NULL UNION ALL
-        SELECT 'R2', 'high', '', tag FROM tags WHERE type_code IN {_IN(R.TRIPS)} AND tag NOT IN (SELECT seed FROM reach JOIN tags ON node = tag WHERE type_code IN {_IN(R.ACTIONS)}) UNION ALL
-        SELECT 'R8', 'medium', loop, tag FROM tags JOIN s USING (loop) WHERE type_code IN {_IN(R.ON_OFF)} AND pos = 0 UNION ALL
-        SELECT 'R9', 'low', loop, min(tag) FROM tags WHERE type_code IN {_IN(R.TRIPS)} GROUP BY loop, type_code HAVING count(*) < 2 UNION ALL
-        SELECT 'R14', 'medium', loop, c FROM s WHERE c IS NOT NULL AND f = 0 UNION ALL
-        SELECT 'R15', 'low', system || '-' || type_code || '-' || number, {_AGG} FROM tags GROUP BY system, type_code, number HAVING count(DISTINCT suffix) = 1 AND min(suffix) IN {_IN(R.LEGS)}""",
-    "rule_coverage": f"""WITH {TAGS_SQL}, m AS (SELECT *, {_CAT} AS category FROM tags WHERE tag NOT IN (SELECT tag FROM tags WHERE size <= 30))
-        SELECT 'R4' AS rule, 'medium' AS severity, 'coverage' AS section, tag AS tags FROM m WHERE category = 'input' AND type_code NOT IN {_IN(R.LOCAL_ONLY)} UNION ALL
-        SELECT 'R5', 'medium', 'coverage', tag FROM m WHERE type_code IN {_IN(R.ACTUATED)} UNION ALL SELECT 'R6', 'medium', 'coverage', tag FROM m WHERE type_code IN {_IN(R.SHUTDOWN_FUNCTIONS)} UNION ALL
-        SELECT 'R7', 'medium', 'coverage', tag FROM m WHERE regexp_full_match(type_code, '[A-Z]{{1,3}}IC')""",
+        SELECT DISTINCT 'R2', 'high', '', tag FROM obj WHERE type_code IN {_IN(R.TRIPS)} AND tag IN (SELECT src FROM loops UNION SELECT dst FROM loops) AND tag NOT IN (SELECT seed FROM reach JOIN obj ON node = tag WHERE type_code IN {_IN(R.ACTIONS)}) UNION ALL
+        SELECT DISTINCT 'R8', 'medium', loop, tag FROM obj JOIN s USING (loop) WHERE type_code IN {_IN(R.ON_OFF)} AND pos = 0 UNION ALL
+        SELECT 'R9', 'low', loop, min(tag) FROM obj WHERE type_code IN {_IN(R.TRIPS)} GROUP BY loop, type_code HAVING count(*) < 2 UNION ALL
+        SELECT 'R14', 'medium', '{R.LOOPS}', {_SHOWN} FROM ctrl WHERE loop NOT IN (SELECT loop FROM served) HAVING count(*) > 0 UNION ALL
+        SELECT 'R15', 'low', '{R.REDUNDANCY}', {_SHOWN} FROM lonely HAVING count(*) > 0 UNION ALL
+        SELECT 'R16', 'medium', '{R.SPELLING}', {_SHOWN} FROM same HAVING count(*) > 0""",
+    "rule_coverage": f"""WITH {TAGS_SQL}, m AS (SELECT *, {_CAT} AS category FROM tags WHERE tag NOT IN (SELECT tag FROM tags WHERE size <= 30)),
+        k AS (SELECT 'R4' AS rule, tag FROM m WHERE category = 'input' AND type_code NOT IN {_IN(R.LOCAL_ONLY)} UNION ALL SELECT 'R5', tag FROM m WHERE type_code IN {_IN(R.ACTUATED)} UNION ALL
+        SELECT 'R6', tag FROM m WHERE type_code IN {_IN(R.SHUTDOWN_FUNCTIONS)} UNION ALL SELECT 'R7', tag FROM m WHERE regexp_full_match(type_code, '[A-Z]{{1,3}}IC'))
+        SELECT rule, 'medium' AS severity, '{R.COVERAGE}' AS section, {_SHOWN} AS tags FROM k GROUP BY rule""",
     "rule_cause_effect": f"""WITH {_LOOPS}, o AS (SELECT * FROM tags WHERE size <= 45) SELECT 'R10' AS rule, 'high' AS severity, 'c&e' AS section, tag AS tags FROM o WHERE type_code IN {_IN(R.ON_OFF)} AND tag NOT IN (SELECT dst FROM loops) UNION ALL
         SELECT 'R11', 'high', 'c&e', tag FROM o WHERE type_code IN {_IN(R.TRIPS)} AND tag NOT IN (SELECT src FROM loops) UNION ALL
         SELECT 'R12', 'medium', 'c&e', t FROM (SELECT src AS t FROM loops UNION SELECT dst FROM loops) WHERE t NOT IN (SELECT tag FROM o)""",
@@ -161,7 +183,7 @@ ORACLES = {
     "spatial_anti": f"WITH {_PTS} SELECT p_brand, p_partkey AS key FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.p_brand = b.p_brand AND {_D2} <= 400)",
     "cosine_neighbours": f"WITH {_COS}, q AS (SELECT a AS key, b AS other, cosine FROM p UNION ALL SELECT b, a, cosine FROM p) SELECT key, other, CAST(row_number() OVER (PARTITION BY key ORDER BY cosine DESC, other) AS INT) AS place FROM q QUALIFY place <= 3",
     "similarity_groups": f"WITH RECURSIVE {_COS}, e AS (SELECT a, b FROM p WHERE cosine >= 0.5 UNION SELECT b, a FROM p WHERE cosine >= 0.5), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS key, min(b) AS grp FROM r GROUP BY a) SELECT key, grp AS group, count(*) OVER (PARTITION BY grp) AS size FROM g",
-    "composition_distance": """WITH i AS (SELECT l_suppkey AS o, p_brand || '/' || p_type AS pt, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 10 GROUP BY 1, 2), n AS (SELECT o, sum(c) AS n FROM i GROUP BY 1)
+    "composition_distance": """WITH i AS (SELECT l_suppkey AS o, p_brand || '/' || p_type AS pt, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), n AS (SELECT o, sum(c) AS n FROM i GROUP BY 1)
         SELECT x.o AS a, y.o AS b, round(1 - sum(least(x.c, y.c)) / greatest(max(nx.n), max(ny.n)), 6) AS distance FROM i x JOIN i y ON x.pt = y.pt AND x.o < y.o JOIN n nx ON nx.o = x.o JOIN n ny ON ny.o = y.o GROUP BY 1, 2""",
     "ranked_search": r"""WITH d AS (SELECT doc_id, source, lang, lower(split_part(text, chr(10), 1)) AS s, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents),
         t AS (SELECT doc_id, source, sum(CASE WHEN contains(s, term) THEN 3 WHEN list_contains(w, term) THEN 2 WHEN contains(source, term) OR contains(lang, term) THEN 1 ELSE 0 END) AS v FROM d, (VALUES ('the'), ('license'), ('src1')) q(term) GROUP BY 1, 2)

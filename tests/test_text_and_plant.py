@@ -14,13 +14,15 @@ def test_questions(spark):
     assert col(spark, q, text.intent) == ["path", "downstream", "upstream", "protects", "trips_closing", "loop", "section", "list_type", "neighbors"]
     assert col(spark, ["position switches in system 27, System 13"], text.systems) == [["27", "13"]]
     assert col(spark, ["which controllers and position switch"], text.types) == [["FIC", "LIC", "PIC", "TIC", "ZL", "ZS"]]
-    assert col(spark, ["What is the Pressure, at V-1?"], text.terms) == [["pressure", "v", "1"]]
+    assert col(spark, ["list all PSVs and the trip LSHH"], text.types) == [sorted({*text.RELIEF, *text.TRIPS})]
+    assert col(spark, ["pressure relief valve", "valve manual"], text.query_codes) == [["PSV"], ["HV"]]
+    assert col(spark, ["What is the Pressure, at V-1?"], text.terms) == [["pressure", "at"]]
 
 
 def test_labels(spark):
-    assert col(spark, ["GAS COOLER.", "123-45", "ab", "x" * 50, "Müll Über"], text.is_descriptive) == [True, False, False, False, False]
+    assert col(spark, ["GAS COOLER.", "123-45", "ab", "x" * 50, "Müll Über", "as built"], text.is_descriptive) == [True, False, False, False, False, False]
     kinds = [["20-2003PT", "20-PT2003"], ["20-LSL548", "20-LSL 548"], ["0548", "548"], ["a", "b"]]
-    assert col(spark, kinds, text.difference_kind, "array<string>") == ["number first / type first", "separators", "leading zeros", "spelling"]
+    assert col(spark, kinds, text.difference_kind, "array<string>") == ["nummer-først vs type-først", "separator/whitespace", "leading zeros", "different spelling"]
     assert col(spark, ['x ```json\n["a"]\n``` y', "no"], lambda c: text.tolerant_json(c, "array<string>")) == [["a"], None]
     assert col(spark, ["Alpha", "", "alp"], lambda c: text.option_matches(c, F.lit("alpha"))) == [True, False, True]
 
