@@ -45,7 +45,7 @@ def designed_response(valid: DataFrame, faults: DataFrame, active: DataFrame) ->
 
 def classified(read_tags: DataFrame, tag: str, register: DataFrame) -> DataFrame:
     """read_tags with status: verified (the register's), verified_loose (its type and number), new_candidate (like a tag), suspect."""
-    squeezed = lambda c: F.regexp_replace(F.upper(F.trim(c)), r"\\s+", "")
+    squeezed = lambda c: F.regexp_replace(F.upper(F.trim(c)), r"\s+", "")
     exact = register.select(squeezed(F.col("tag")).alias("_s")).distinct().withColumn("_e", F.lit(True))
     loose = register.select(loose_key(F.col("tag")).alias("_k")).filter("_k IS NOT NULL").distinct().withColumn("_l", F.lit(True))
     j = read_tags.withColumn("_s", squeezed(F.col(tag))).withColumn("_k", loose_key(F.col(tag))).join(exact, "_s", "left").join(loose, "_k", "left")

@@ -64,3 +64,51 @@ def distinctive(rows: DataFrame, group: str, cls: str, top: int = 4) -> DataFram
     world = F.sum("c").over(Window.partitionBy(cls)) / F.sum("c").over(Window.partitionBy(F.lit(0)))
     d = c.withColumn("over", F.round(local - world, 9))
     return d.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("over"), cls))).filter(F.col("place") <= top).select(group, cls, "over", "place")
+
+
+def item_summary(items: DataFrame) -> DataFrame:
+    """One row over plant items: items, drawings, classes, tags (different ones) and untagged."""
+    return items.agg(
+        F.count("*").alias("items"), F.countDistinct("drawing").alias("drawings"), F.countDistinct("component_class").alias("classes"),
+        F.countDistinct("tag").alias("tags"), F.count(F.when(F.col("tag").isNull(), 1)).alias("untagged"),
+    )
+
+
+def fluid_counts(segments: DataFrame, total: str = "TOTAL") -> DataFrame:
+    """Segments (drawing, fluid_code) -> drawing, fluid_code, n_segments, with a total over drawings for each code."""
+    g = segments.filter("fluid_code IS NOT NULL").rollup("fluid_code", "drawing").agg(F.count("*").alias("n_segments"), F.grouping("drawing").alias("_d"), F.grouping("fluid_code").alias("_f"))
+    return g.filter("_f = 0").select(F.when(F.col("_d") == 1, total).otherwise(F.col("drawing")).alias("drawing"), "fluid_code", "n_segments")
+
+
+def folder_summary(files: DataFrame) -> DataFrame:
+    """Files (folder, size_kb, readable) -> folder, files, size_kb, readable."""
+    return files.groupBy("folder").agg(F.count("*").alias("files"), F.round(F.sum("size_kb"), 1).alias("size_kb"), F.count(F.when(F.col("readable"), 1)).alias("readable"))
+
+
+def disposition_counts(dispositions: DataFrame) -> DataFrame:
+    return dispositions.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def review_precision(decisions: DataFrame) -> DataFrame:
+    """Decisions (verdict: accepted or rejected) -> accepted, rejected and precision, null where nothing was decided."""
+    g = decisions.agg(F.count(F.when(F.col("verdict") == "accepted", 1)).alias("accepted"), F.count(F.when(F.col("verdict") == "rejected", 1)).alias("rejected"))
+    n = F.col("accepted") + F.col("rejected")
+    return g.withColumn("precision", F.when(n > 0, F.col("accepted") / n))
+
+
+def centroids(words: DataFrame, key: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    return words.groupBy(*key).agg(F.avg(x).alias(x), F.avg(y).alias(y))
+
+
+def longest_suffix(stems: DataFrame, labels: DataFrame) -> DataFrame:
+    """stem, label: of the labels (label) whose key ends a stem's, or is ended by it, the longest (then the least); null if none.
+
+    Keys are letters and digits in lower case. A stem meets the labels by the hash of each of its endings, never all labels.
+    """
+    norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: c.substr(i, F.length(c)))
+    s, l = stems.select("stem", norm("stem").alias("k")).filter("k <> ''"), labels.select("label", norm("label").alias("j")).filter("j <> ''")
+    a = s.select("stem", F.explode(ends(F.col("k"))).alias("e")).join(l, F.col("e") == F.col("j")).select("stem", "label", "j")
+    b = l.select("label", "j", F.explode(ends(F.col("j"))).alias("e")).join(s, F.col("e") == F.col("k")).select("stem", "label", "j")
+    best = a.unionByName(b).groupBy("stem").agg(F.min(F.struct((-F.length("j")).alias("less"), "label")).alias("m")).select("stem", F.col("m.label").alias("label"))
+    return stems.select("stem").join(best, "stem", "left")
