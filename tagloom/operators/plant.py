@@ -67,7 +67,7 @@ class Query:
 
 
 def answer(query: Query, vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """tag, fact: the rows an intent asks for. vertices: tag, type_code, loop."""
+    """tag, fact: the rows an intent asks for; ValueError for an intent that is none. vertices: tag, type_code, loop."""
     spark = vertices.sparkSession
     asked = spark.createDataFrame([(t,) for t in query.tags], "seed string")
     named = vertices.select(F.col("tag").alias("node"), "type_code", "loop")
@@ -92,5 +92,7 @@ def answer(query: Query, vertices: DataFrame, edges: DataFrame) -> DataFrame:
         return facts(named.join(named.join(asked, named["node"] == asked["seed"]).select("loop").distinct(), "loop", "left_semi"), "node", F.col("loop"))
     if query.intent == "list_type":
         return facts(named.filter(F.col("type_code").isin(query.types)), "node", F.col("type_code"))
+    if query.intent != "neighbors":
+        raise ValueError(f"no such intent: {query.intent}")
     around = graph.undirected(edges)
     return facts(around.join(asked, around["src"] == asked["seed"]).select(F.col("dst").alias("node")).distinct(), "node", F.lit("neighbour"))

@@ -52,8 +52,9 @@ def first_source_wins(objects: DataFrame, key: str, rank: str) -> DataFrame:
 
 
 def update_merge(master: DataFrame, edits: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """master with the edits' values where they are not null; rows without an edit stay."""
-    e = edits.select(*keys, *[F.col(v).alias(f"_new_{v}") for v in values])
+    """master with the edits' values where they are not null; rows without an edit stay. Of several edits of a key the greatest
+    value of each column counts, so no row is multiplied."""
+    e = edits.groupBy(*keys).agg(*[F.max(v).alias(f"_new_{v}") for v in values])
     joined = master.join(e, keys, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in master.columns])
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagloom.functions import tags as T
 from tagloom.operators import inventory as I
+from tagloom.operators import recall
 from tagloom.plans.shapes import TAGS_SQL, plant_tags, read
 
 
@@ -40,9 +42,11 @@ def grammar(spark, d):
 
 
 def reconstruction(spark, d):
-    """Tags whose parts do not give the tag again (there is none unless the grammar fails)."""
-    t = plant_tags(spark, d)
-    return t.select(F.count("*").alias("n"), F.count(F.when(F.concat("system", F.lit("-"), "type_code", "number", "suffix") != F.col("tag"), 1)).alias("broken"))
+    """Parsed parts against the tag they came from, where every seventh tag's number was lost on the way."""
+    t = plant_tags(spark, d).select("id", T.parse_tag(F.col("tag")).alias("p"), "tag")
+    number = F.when(F.col("id") % 7 == 0, "").otherwise(F.col("p.number"))
+    back = F.concat("p.system", F.lit("-"), "p.type_code", number, "p.suffix")
+    return t.agg(F.count("*").alias("n"), F.count(F.when(T.validation_key(back) != T.validation_key(F.col("tag")), 1)).alias("broken"))
 
 
 def crosstab(spark, d):
@@ -114,10 +118,43 @@ def kpis(spark, d):
     return t.agg(F.count("*").alias("n"), F.countDistinct("loop").alias("n_loops"), F.countDistinct("system").alias("n_systems"), F.countDistinct("type_code").alias("n_types"))
 
 
-QUERIES = {f.__name__: f for f in (diff_by_class, near_duplicates, lonely_leg, class_inventory, attribute_coverage, grammar, reconstruction, crosstab, share_pivot, mode_summary, co_occurrence, threshold_choice, confusion, distinctive_classes, capped_sample, minmax_scaling, line_fit, kpis)}
+def channel_scores(spark, d):
+    """Two channels and their union against truth: parts of small size read by one, of some brands by the other, as tags and as
+    nozzles; suppliers are drawings."""
+    li = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    tag = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("N"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("27-PT"), F.col("l_partkey").cast("string")))
+    each = li.select(F.col("l_suppkey").cast("string").alias("drawing"), tag.alias("tag"), "p_size", "l_partkey")
+    text = each.filter("p_size <= 30").select("drawing", F.lit("text").alias("channel"), F.lower("tag").alias("tag"))
+    vision = each.filter("p_size % 3 = 0").select("drawing", F.lit("vision").alias("channel"), "tag")
+    return recall.channel_scores(text.unionByName(vision), each.filter("l_partkey % 7 <> 0").select("drawing", "tag"))
+
+
+def near_zero_yield(spark, d):
+    """Suppliers as drawings: parts shipped as truth, parts returned with a large discount as extraction."""
+    g = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").cast("int").alias("truth_tags"), F.countDistinct(F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09), F.col("l_partkey"))).cast("int").alias("extracted"))
+    return recall.near_zero_yield(g).select("l_suppkey", "truth_tags", "extracted")
+
+
+def fluid_counts(spark, d):
+    """Types of parts by brand, and over brands."""
+    return I.fluid_counts(read(spark, d, "part").select(F.col("p_brand").alias("drawing"), F.col("p_type").alias("fluid_code")))
+
+
+QUERIES = {f.__name__: f for f in (channel_scores, near_zero_yield, fluid_counts, diff_by_class, near_duplicates, lonely_leg, class_inventory, attribute_coverage, grammar, reconstruction, crosstab, share_pivot, mode_summary, co_occurrence, threshold_choice, confusion, distinctive_classes, capped_sample, minmax_scaling, line_fit, kpis)}
 _K = ["click", "error", "purchase", "signup", "view"]
 _N = ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in _K)
 ORACLES = {
+    "channel_scores": """WITH e AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS drawing, l_partkey, p_size, CASE WHEN l_partkey % 5 = 0 THEN 'N' ELSE '27PT' END || l_partkey AS k, l_partkey % 5 = 0 AS nz FROM lineitem JOIN part ON l_partkey = p_partkey),
+        f AS (SELECT drawing, 'text' AS channel, k FROM e WHERE p_size <= 30 UNION SELECT drawing, 'vision', k FROM e WHERE p_size % 3 = 0), u AS (SELECT * FROM f UNION SELECT drawing, 'union', k FROM f),
+        t AS (SELECT drawing, channel, k, nz FROM e, (VALUES ('text'), ('vision'), ('union')) c(channel) WHERE l_partkey % 7 <> 0),
+        m AS (SELECT coalesce(t.drawing, u.drawing) AS drawing, coalesce(t.channel, u.channel) AS channel, t.k IS NOT NULL AS has, u.k IS NOT NULL AS got, coalesce(nz, false) AS nz FROM t FULL JOIN u ON t.drawing = u.drawing AND t.channel = u.channel AND t.k = u.k),
+        g AS (SELECT coalesce(drawing, 'TOTAL') AS drawing, channel, count(*) FILTER (has AND got) AS tp, count(*) FILTER (has AND NOT got) AS missed, count(*) FILTER (got AND NOT has) AS extra, count(*) FILTER (has AND got AND NOT nz) AS tpx, count(*) FILTER (has AND NOT got AND NOT nz) AS mx FROM m GROUP BY GROUPING SETS ((drawing, channel), (channel))),
+        s AS (SELECT *, CASE WHEN tp + extra > 0 THEN tp / (tp + extra) ELSE 0.0 END AS p, CASE WHEN tp + missed > 0 THEN tp / (tp + missed) ELSE 0.0 END AS r FROM g)
+        SELECT drawing, channel, tp + missed AS truth, tp + extra AS extracted, tp, missed, extra, round(p, 3) AS precision, round(r, 3) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 3) AS f1,
+        CASE WHEN tpx + mx > 0 THEN round(tpx / (tpx + mx), 3) ELSE 0.0 END AS recall_ex_nozzle FROM s""",
+    "near_zero_yield": """WITH g AS (SELECT l_suppkey, CAST(count(DISTINCT l_partkey) AS INT) AS truth_tags, CAST(count(DISTINCT l_partkey) FILTER (l_returnflag = 'R' AND l_discount > 0.09) AS INT) AS extracted FROM lineitem GROUP BY 1)
+        SELECT * FROM g WHERE truth_tags >= 5 AND extracted <= greatest(1.0, 0.05 * truth_tags)""",
+    "fluid_counts": "SELECT p_brand AS drawing, p_type AS fluid_code, count(*) AS n_segments FROM part GROUP BY 1, 2 UNION ALL SELECT 'TOTAL', p_type, count(*) FROM part GROUP BY 2",
     "diff_by_class": "WITH k AS (SELECT p_brand, CASE WHEN regexp_matches(p_type, 'STEEL|BRASS') THEN 'metal' WHEN p_size > 25 THEN 'large' ELSE 'other' END AS kind FROM part) SELECT p_brand, count(*) FILTER (kind = 'metal') AS metal, count(*) FILTER (kind = 'large') AS large, count(*) FILTER (kind = 'other') AS other FROM k GROUP BY 1",
     "near_duplicates": f"WITH {TAGS_SQL} SELECT type_code, number, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY 1, 2 HAVING count(DISTINCT tag) >= 2",
     "lonely_leg": f"WITH {TAGS_SQL} SELECT system, type_code, number, min(tag) AS tag FROM tags GROUP BY 1, 2, 3 HAVING count(DISTINCT suffix) = 1 AND min(suffix) IN ('A', 'B', 'C', 'D')",
@@ -127,7 +164,7 @@ ORACLES = {
     "grammar": """WITH p AS (SELECT unnest(string_split(p_name, ' ')) AS value, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS position FROM part),
         s AS (SELECT CAST(position AS INT) AS position, CASE WHEN regexp_full_match(value, '[0-9]+') THEN 'numeric' WHEN regexp_full_match(value, '[A-Za-z]+') THEN 'alpha' ELSE 'mixed' END AS shape, count(*) AS c FROM p GROUP BY 1, 2)
         SELECT position, CAST(sum(c) AS BIGINT) AS n, arg_max(shape, c) AS shape, CAST(sum(c) - max(c) AS BIGINT) AS suspects FROM s GROUP BY 1""",
-    "reconstruction": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS broken FROM part",
+    "reconstruction": "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 = 0) AS broken FROM part",
     "crosstab": f"SELECT CAST(floor(value / 50) AS BIGINT) AS band, {_N}, count(*) AS total FROM events GROUP BY 1",
     "share_pivot": "SELECT user_id, " + ", ".join(f"round(count(*) FILTER (event_type = '{k}') / count(*), 6) AS {k}" for k in _K) + " FROM events GROUP BY 1",
     "mode_summary": "WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS c FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC, l_quantity) AS i FROM c) SELECT l_suppkey, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_distinct, max(l_quantity) FILTER (i = 1) AS mode FROM r GROUP BY 1",

@@ -15,7 +15,10 @@ def write_report(df: DataFrame, path: str, form: str = "csv", single: bool = Fal
 
 def upsert(spark: SparkSession, path: str, version: int, rows: DataFrame, key: str) -> int:
     """A new version of a keyed table under path, written whole beside the last: rows replace those of their key, the first
-    creation time stays and saves are counted. Returns the version; a reader of the old one is never disturbed."""
+    creation time stays and saves are counted. Of several rows of a key the greatest counts, column by column in order. Returns
+    the version; a reader of the old one is never disturbed."""
+    rest = [c for c in rows.columns if c != key]
+    rows = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
     new = rows.withColumn("saved_at", F.current_timestamp())
     if version:
         old = spark.read.parquet(f"{path}/v={version}")
@@ -46,3 +49,34 @@ def sheet_names(nodes: DataFrame, node: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("sheet").orderBy(node))
     d = nodes.select(node).distinct().withColumn("sheet", short).withColumn("_n", n)
     return d.select(node, F.when(F.col("_n") == 1, F.col("sheet")).otherwise(F.concat(F.expr("substring(sheet, 1, 27)"), F.lit("~"), F.col("_n").cast("string"))).alias("sheet"))
+
+
+def list_newest(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The rows of a version of an upserted table, the last saved first."""
+    return spark.read.parquet(f"{path}/v={version}").orderBy(F.desc("saved_at"))
+
+
+def delete(spark: SparkSession, path: str, version: int, keys: DataFrame, key: str) -> int:
+    """A new version without the rows of some keys; returns it."""
+    spark.read.parquet(f"{path}/v={version}").join(keys.select(key), key, "left_anti").write.mode("errorifexists").parquet(f"{path}/v={version + 1}")
+    return version + 1
+
+
+def cached(spark: SparkSession, path: str, schema: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a cache of successes holds for keys (column key), the last stored of each, and the keys it lacks."""
+    stored = spark.read.schema(schema).parquet(path).dropDuplicates(["key"])
+    return stored.join(keys.select("key").distinct(), "key", "left_semi"), keys.select("key").distinct().join(stored, "key", "left_anti")
+
+
+def graph_json(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One JSON line for each node ({"id": ...}) and link ({"source": ..., "target": ...}), with all other columns."""
+    node = F.struct(F.col(vertices.columns[0]).cast("string").alias("id"), *vertices.columns[1:])
+    link = F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), *[c for c in edges.columns if c not in ("src", "dst")])
+    return vertices.select(F.lit("node").alias("kind"), F.to_json(node).alias("json")).unionByName(edges.select(F.lit("link").alias("kind"), F.to_json(link).alias("json")))
+
+
+def safety_register(objects: DataFrame) -> DataFrame:
+    """tag, type, category, source of safety-typed objects."""
+    from tagloom.functions.tags import SAFETY_TYPES
+
+    return objects.filter(F.col("type_code").isin(SAFETY_TYPES)).select("tag", F.col("type_code").alias("type"), "category", "source")

@@ -128,8 +128,17 @@ def truth_tags(e: DataFrame, names: tuple[str, ...] = ("tagName", "valveTag", "T
     return t.filter(F.col("is_pipe") | (F.col("tag").rlike(r"\d") & ~F.lower("tag").startswith("empty"))).distinct()
 
 
-def component_list(e: DataFrame, names: tuple[str, ...] = ("FluidCode", "NominalDiameter")) -> DataFrame:
-    """Items with attributes inherited from the item that owns them where they lack their own (the first name wins)."""
-    i = e.filter("id IS NOT NULL").select("drawing", "id", "owner_id", "element", *[F.col("generic")[n].alias(n) for n in names])
-    up = i.select("drawing", F.col("id").alias("owner_id"), *[F.col(n).alias(f"_{n}") for n in names])
-    return i.join(up, ["drawing", "owner_id"], "left").select("drawing", "id", "element", *[F.coalesce(n, f"_{n}").alias(n) for n in names])
+def component_list(e: DataFrame, names: tuple[str, ...] = ("FluidCode", "NominalDiameter"), most: int = 50) -> DataFrame:
+    """Items with attributes inherited, where they lack their own, from the nearest owner that has them, however far up.
+
+    Each round takes values from the owners and moves on to theirs, and doubles the way that is looked back.
+    """
+    from tagloom.operators.durable import cut
+
+    i = cut(e.filter("id IS NOT NULL").select("drawing", "id", F.col("owner_id").alias("up"), "element", *[F.col("generic")[n].alias(n) for n in names]).dropDuplicates(["drawing", "id"]))
+    for _ in range(most):
+        over = i.select("drawing", F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(n).alias(f"_{n}") for n in names])
+        i = cut(i.join(over, ["drawing", "up"], "left").select("drawing", "id", F.col("_up").alias("up"), "element", *[F.coalesce(n, f"_{n}").alias(n) for n in names]))
+        if i.filter("up IS NOT NULL").isEmpty():
+            return i.drop("up")
+    raise RuntimeError(f"owners more than 2**{most} deep")

@@ -27,6 +27,9 @@ def test_xml(spark):
     assert i["E1"].parts == {"part1": "28"} and i["E1"].n_connection_points == 2 and i["E1"].connection_types == ["process", ""]
     assert {(r.tag, r.is_pipe) for r in xml.truth_tags(e).collect()} == {("27-PA001", False), ("27-N1", False), ('6"-PV-27', True)}
     assert {r.id: r.FluidCode for r in xml.component_list(e).collect()}["N1"] == "VF"
+    deep = b"<P><S ID='a'><GenericAttributes><GenericAttribute Name='FluidCode' Value='PL'/></GenericAttributes>" + b"".join(b"<S ID='x%d'>" % i for i in range(6)) + b"</S>" * 6 + b"</S></P>"
+    got = xml.component_list(xml.elements_of(spark.createDataFrame([("/a/d.xml", deep)], "path string, content binary"))).collect()
+    assert len(got) == 7 and {r.FluidCode for r in got} == {"PL"}
 
 
 def test_files(spark, tmp_path):
