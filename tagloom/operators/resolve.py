@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,48 +19,62 @@ _FORMS = {
 }
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _peel(rest: Column) -> Column:
+    """struct(open, body, level, attribute) of the tokens: attributes and alarm marks come off the end, the rest is joined."""
+    attributes = F.array(*[F.lit(w) for w in ATTRIBUTES])
+    start = F.struct(F.lit(True).alias("open"), F.lit("").alias("body"), F.lit("").alias("level"), F.lit("").alias("attribute"))
+
+    def step(acc: Column, item: Column) -> Column:
+        t = item["t"]
+        last = acc["open"] & ~item["first"]
+        attribute = last & F.array_contains(attributes, t)
+        alarm = last & ~attribute & t.rlike(_ALARM)
+        return F.struct(
+            (attribute | alarm).alias("open"),
+            F.when(attribute | alarm, acc["body"]).otherwise(F.concat(t, acc["body"])).alias("body"),
+            F.when(alarm, F.regexp_extract(t, _ALARM, 1)).otherwise(acc["level"]).alias("level"),
+            F.when(attribute, t).otherwise(acc["attribute"]).alias("attribute"),
+        )
+
+    return F.aggregate(F.reverse(F.transform(rest, lambda t, i: F.struct(t.alias("t"), (i == 0).alias("first")))), start, step)
+
+
+def _parts(body: Column) -> Column:
+    """struct(system, type_code, number, leg) by the first form that fits; null if none does."""
+    out = None
+    for pattern, groups in _FORMS.values():
+        fields = [(F.regexp_extract(body, pattern, g) if g else F.lit("")).alias(n) for n, g in zip(("system", "type_code", "number", "leg"), groups)]
+        out = F.when(body.rlike(pattern), F.struct(*fields)) if out is None else out.when(body.rlike(pattern), F.struct(*fields))
+    return out
+
+
 def parse_point(raw: Column, site_words: tuple[str, ...] = ()) -> Column:
     """struct(system, type_code, number, leg, alarm_level, attribute); type_code null where nothing like a tag is there.
 
     site_words: names of the plant or export that count as source words too. Source words in front and attributes or alarm marks behind are whole tokens; the first token is never taken off.
     """
-    tokens = F.filter(F.split(F.upper(F.trim(raw)), r"[\s_\-./:\\]+"), lambda t: t != "")
     words = F.array(*[F.lit(w) for w in (*SOURCES, *site_words)])
-    front = F.aggregate(tokens, F.lit(0), lambda n, t: F.when((n >= 0) & F.array_contains(words, t), n + 1).when(n >= 0, -n - 1).otherwise(n), lambda n: F.when(n < 0, -n - 1).otherwise(n))
-    front = F.least(front, F.size(tokens) - 1)
-    rest = F.slice(tokens, F.greatest(front, F.lit(0)) + 1, F.greatest(F.size(tokens), F.lit(1)))
-    attributes = F.array(*[F.lit(w) for w in ATTRIBUTES])
-    start = F.struct(F.lit(True).alias("open"), F.lit("").alias("body"), F.lit("").alias("level"), F.lit("").alias("attribute"))
 
-    def peel(acc: Column, item: Column) -> Column:
-        t, first = item["t"], item["first"]
-        level = F.regexp_extract(t, _ALARM, 1)
-        attribute = acc["open"] & ~first & F.array_contains(attributes, t)
-        alarm = acc["open"] & ~first & ~attribute & (level != "")
-        off = attribute | alarm
+    def without_front(tokens: Column) -> Column:
+        front = F.aggregate(tokens, F.lit(0), lambda n, t: F.when((n >= 0) & F.array_contains(words, t), n + 1).when(n >= 0, -n - 1).otherwise(n), lambda n: F.when(n < 0, -n - 1).otherwise(n))
+        return F.slice(tokens, F.greatest(F.least(front, F.size(tokens) - 1), F.lit(0)) + 1, F.greatest(F.size(tokens), F.lit(1)))
+
+    def answer(peeled: Column, parts: Column) -> Column:
+        leg = parts["leg"]
+        level = F.when(peeled["level"] != "", peeled["level"]).when(leg.isin(LEVELS), leg)
         return F.struct(
-            off.alias("open"),
-            F.when(off, acc["body"]).otherwise(F.concat(t, acc["body"])).alias("body"),
-            F.when(alarm, level).otherwise(acc["level"]).alias("level"),
-            F.when(attribute, t).otherwise(acc["attribute"]).alias("attribute"),
-        )
+            parts["system"].alias("system"), parts["type_code"].alias("type_code"), parts["number"].alias("number"), F.when(leg.isin(LEVELS), "").otherwise(leg).alias("leg"),
+            level.alias("alarm_level"), F.when(peeled["attribute"] != "", peeled["attribute"]).alias("attribute"),
+        )
 
-    backwards = F.reverse(F.transform(rest, lambda t, i: F.struct(t.alias("t"), (i == 0).alias("first"))))
-    peeled = F.aggregate(backwards, start, peel)
-    body = F.regexp_replace(peeled["body"], r"^[A-Z]{1,3}(?=\d{2})", "")
-    parts = []
-    for i in range(4):
-        out = None
-        for pattern, groups in _FORMS.values():
-            value = F.regexp_extract(body, pattern, groups[i]) if groups[i] else F.lit("")
-            out = F.when(body.rlike(pattern), value) if out is None else out.when(body.rlike(pattern), value)
-        parts.append(out)
-    system, type_code, number, leg = parts
-    level = F.when(peeled["level"] != "", peeled["level"]).when(leg.isin(LEVELS), leg)
-    return F.struct(
-        system.alias("system"), type_code.alias("type_code"), number.alias("number"), F.when(leg.isin(LEVELS), "").otherwise(leg).alias("leg"),
-        level.alias("alarm_level"), F.when(peeled["attribute"] != "", peeled["attribute"]).alias("attribute"),
-    )
+    tokens = F.filter(F.split(F.upper(F.trim(raw)), r"[\s_\-./:\\]+"), lambda t: t != "")
+    body = lambda peeled: F.regexp_replace(peeled["body"], r"^[A-Z]{1,3}(?=\d{2})", "")
+    return _bind(_bind(tokens, lambda t: _peel(without_front(t))), lambda p: _bind(_bind(body(p), _parts), lambda q: answer(p, q)))
 
 
 def squeeze(tag: Column) -> Column:

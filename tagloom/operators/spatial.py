@@ -5,6 +5,8 @@ Range joins meet on grid cells (an equi-join with the neighbouring cells), never
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,17 +58,26 @@ def without_near(left: DataFrame, right: DataFrame, by: list[str], key: str, rad
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """Truth points (by, t, tx, ty) in order of t each take the nearest free detection (by, f, fx, fy); order decides, so a
-    group is one task's work: by, t, f (null if none is left in reach)."""
+    """Truth points (by, t, tx, ty) in order of t each take the nearest free detection (by, f, fx, fy), of equally near ones the
+    least f; order decides, so a group is one task's work: by, t, f (null if none is left in reach, or the point has no place).
+    Detections without a place are never taken. Within a group only cells a radius wide around a point are searched."""
     schema = ", ".join(f"{c} {truth.schema[c].dataType.simpleString()}" for c in by) + f", t {truth.schema['t'].dataType.simpleString()}, f {found.schema['f'].dataType.simpleString()}"
+    wide = max(float(radius), 1e-9)
 
     def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = list(zip(b["f"], b["fx"], b["fy"]))
+        free: dict[tuple, dict[int, tuple]] = {}
+        for i, (f, x, y) in enumerate(zip(b["f"], b["fx"], b["fy"])):
+            if x == x and y == y:
+                free.setdefault((math.floor(x / wide), math.floor(y / wide)), {})[i] = (f, x, y)
         out = []
         for t, x, y in sorted(zip(a["t"], a["tx"], a["ty"])):
-            best = min((((fx - x) ** 2 + (fy - y) ** 2, f, i) for i, (f, fx, fy) in enumerate(free)), default=None)
-            hit = best is not None and best[0] <= radius * radius
-            out.append((*key, t, free.pop(best[2])[0] if hit else None))
+            best = None
+            if x == x and y == y:
+                col, row = math.floor(x / wide), math.floor(y / wide)
+                cells = [(c, r) for c in (col - 1, col, col + 1) for r in (row - 1, row, row + 1)]
+                near = (((fx - x) ** 2 + (fy - y) ** 2, f, i, cell) for cell in cells for i, (f, fx, fy) in free.get(cell, {}).items())
+                best = min((n for n in near if n[0] <= radius * radius), default=None)
+            out.append((*key, t, free[best[3]].pop(best[2])[0] if best else None))
         return pd.DataFrame(out, columns=[*by, "t", "f"])
 
     return truth.groupBy(*by).cogroup(found.groupBy(*by)).applyInPandas(match, schema)
