@@ -8,20 +8,21 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def _place(df: DataFrame) -> str:
+def place(df: DataFrame) -> str:
+    """A new folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not place:
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = tempfile.mkdtemp(prefix="tagloom-")
-        sc.setCheckpointDir(place)
-    return f"{place.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+        base = tempfile.mkdtemp(prefix="tagloom-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/rounds/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to shared storage and read again."""
-    path = _place(df)
+    path = place(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -30,7 +31,7 @@ class Rounds:
     """A table that grows by a folder a round, so that what was there is never written again; `round` numbers the folders."""
 
     def __init__(self, first: DataFrame):
-        self.path, self.schema, self.spark, self.last = _place(first), first.schema, first.sparkSession, -1
+        self.path, self.schema, self.spark, self.last = place(first), first.schema, first.sparkSession, -1
         self.add(first)
 
     def add(self, new: DataFrame) -> DataFrame:

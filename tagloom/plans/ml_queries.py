@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tagloom.operators import ml
+from tagloom.operators.durable import place
 from tagloom.plans.shapes import plant_tags, read
 from tagloom.streaming import watch
 
@@ -26,12 +24,25 @@ def object_forest(spark, d):
 
 
 def _run(stream, mode="append"):
-    """A stream over all that is there now, as a table of this session; its checkpoint goes to the shared folder if there is one."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tagloom-")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/streams/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """A stream over all that is there now, as a table; what it tells goes to the shared folder, never to the driver."""
+    spark, path = stream.sparkSession, place(stream)
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    # the other provider holds the whole state on the heap
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/told/batch={i}")
+        q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        last = max((p["batchId"] for p in q.recentProgress), default=None)
+    finally:
+        spark.conf.set(conf, before)
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    told = spark.read.schema(stream.schema)
+    if mode == "complete":  # the last batch tells all
+        return told.parquet(f"{path}/told/batch={last}")
+    return told.option("basePath", f"{path}/told").parquet(f"{path}/told").drop("batch")
 
 
 def _source(spark, d):

@@ -37,3 +37,22 @@ def test_windows_as_batch(spark, tmp_path):
     c = run(watch.clusters(s), tmp_path, "clusters", "complete").groupBy("user_id").agg(F.count("*").alias("n")).collect()
     batch = E.arrival_clusters(e.withColumn("t", E.seconds("ts")), "user_id", "t", 3600.0, "event_id").groupBy("user_id").agg(F.countDistinct("cluster").alias("n")).collect()
     assert sorted(map(tuple, c)) == sorted(map(tuple, batch))
+
+
+def test_queries_keep_nothing_on_the_driver(spark):
+    from tagloom.plans import ml_queries
+
+    for query in (ml_queries.stream_sessions, ml_queries.stream_floods):
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        files = query(spark, SF).inputFiles()
+        assert files and all("/told/" in f for f in files)
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_rows_told_in_several_batches(spark, tmp_path):
+    from tagloom.plans import ml_queries
+
+    spark.range(0, 30, 1, 3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert sorted(r.id for r in ml_queries._run(stream).collect()) == list(range(30))
+    assert ml_queries._run(stream.groupBy().count(), "complete").first()["count"] == 30
