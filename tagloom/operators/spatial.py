@@ -1,54 +1,100 @@
 """Boxes and points on drawings: nearest in a window or radius, counts, anti joins, greedy matching and suppression.
 
-Range joins meet on grid cells (an equi-join with the neighbouring cells), never on a cross product of a drawing.
+Range searches meet on tiles with a rim (a cogroup), never on a cross product of a drawing; `planar` searches within a tile
+without listing all pairs.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators import planar
 
-def _cells(df: DataFrame, x: str, y: str, size_x: float, size_y: float, around: bool) -> DataFrame:
-    d = df.withColumn("_cx", F.floor(F.col(x) / size_x)).withColumn("_cy", F.floor(F.col(y) / size_y))
-    if around:
-        step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        d = d.withColumn("_cx", F.explode(F.transform(step, lambda i: F.col("_cx") + i))).withColumn("_cy", F.explode(F.transform(step, lambda i: F.col("_cy") + i)))
-    return d
 
+def _tiles(left: DataFrame, right: DataFrame, by: list[str], reach: tuple[float, float], search, schema: str) -> DataFrame:
+    """search(left, right) as Arrow tables for each tile of a `by`, four reaches wide: a left row (lx, ly) is in one tile, a right
+    row (rx, ry) in all that its reach touches. Rows without a place or with a null in `by` are in none."""
+    size = [4.0 * r or 1.0 for r in reach]
 
-def near_pairs(left: DataFrame, right: DataFrame, by: list[str], reach: tuple[float, float]) -> DataFrame:
-    """Pairs of left (lx, ly) and right (rx, ry) of the same `by` whose |dx| and |dy| are under reach; other names must differ."""
-    a = _cells(left, "lx", "ly", *reach, True)
-    b = _cells(right, "rx", "ry", *reach, False)
-    j = a.join(b, [*by, "_cx", "_cy"])
-    return j.filter((F.abs(F.col("lx") - F.col("rx")) < reach[0]) & (F.abs(F.col("ly") - F.col("ry")) < reach[1])).drop("_cx", "_cy")
+    def placed(df: DataFrame, x: str, y: str) -> DataFrame:
+        d = df.withColumn(x, F.col(x).cast("double")).withColumn(y, F.col(y).cast("double")).dropna(subset=[*by, x, y])
+        return d.filter((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+
+    def around(c: str, r: float, wide: float) -> Column:
+        pad = r * 1.000001 + F.abs(c) * 1e-12
+        return F.sequence(F.floor((F.col(c) - pad) / wide), F.floor((F.col(c) + pad) / wide))
+
+    a = placed(left, "lx", "ly").withColumn("_tx", F.floor(F.col("lx") / size[0])).withColumn("_ty", F.floor(F.col("ly") / size[1]))
+    b = placed(right, "rx", "ry").withColumn("_tx", F.explode(around("rx", reach[0], size[0]))).withColumn("_ty", F.explode(around("ry", reach[1], size[1])))
+    keys = [*by, "_tx", "_ty"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(search, schema)
+
+
+def _xy(table: pa.Table, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(table[c].to_numpy() for c in (x, y))
+
+
+def _rank(table: pa.Table, other: str) -> np.ndarray:
+    order = pc.sort_indices(table[other]).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def nearest_in_window(left: DataFrame, right: DataFrame, by: list[str], key: str, other: str, reach: tuple[float, float]) -> DataFrame:
     """For each left key the right row nearest in y within the window, ties by `other`; left rows without one drop out."""
-    p = near_pairs(left, right, by, reach)
-    return p.groupBy(*by, key).agg(F.min(F.struct(F.abs(F.col("ly") - F.col("ry")).alias("dy"), other)).alias("m")).select(*by, key, f"m.{other}", "m.dy")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        best, dy = planar.nearest_in_window(*_xy(a, "lx", "ly"), *_xy(b, "rx", "ry"), _rank(b, other), reach)
+        hit = np.flatnonzero(best >= 0)
+        t = a.select([*by, key]).take(hit)
+        return t.append_column(other, b[other].take(best[hit])).append_column("dy", pa.array(dy[hit]))
+
+    p = _tiles(left.select(*by, key, "lx", "ly"), right.select(*by, other, "rx", "ry"), by, reach, search, f"{_types(left, [*by, key])}, {_types(right, [other])}, dy double")
+    return p.groupBy(*by, key).agg(F.min(F.struct("dy", other)).alias("m")).select(*by, key, f"m.{other}", "m.dy")
 
 
 def nearest_in_radius(left: DataFrame, right: DataFrame, by: list[str], key: str, other: str, radius: float) -> DataFrame:
     """Each left row with the nearest right row no further than radius, or null."""
-    p = near_pairs(left, right, by, (radius * 1.0000001, radius * 1.0000001))
-    d2 = (F.col("lx") - F.col("rx")) * (F.col("lx") - F.col("rx")) + (F.col("ly") - F.col("ry")) * (F.col("ly") - F.col("ry"))
-    best = p.withColumn("d2", d2).filter(F.col("d2") <= radius * radius).groupBy(*by, key).agg(F.min(F.struct("d2", other)).alias("m"))
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        lx, ly = _xy(a, "lx", "ly")
+        rx, ry = _xy(b, "rx", "ry")
+        best = planar.nearest_in_radius(lx, ly, rx, ry, _rank(b, other), radius)
+        hit = np.flatnonzero(best >= 0)
+        j = best[hit]
+        d2 = (lx[hit] - rx[j]) * (lx[hit] - rx[j]) + (ly[hit] - ry[j]) * (ly[hit] - ry[j])
+        return a.select([*by, key]).take(hit).append_column("d2", pa.array(d2)).append_column(other, b[other].take(j))
+
+    p = _tiles(left.select(*by, key, "lx", "ly"), right.select(*by, other, "rx", "ry"), by, (radius, radius), search, f"{_types(left, [*by, key])}, d2 double, {_types(right, [other])}")
+    best = p.groupBy(*by, key).agg(F.min(F.struct("d2", other)).alias("m"))
     return left.select(*by, key).join(best, [*by, key], "left").select(*by, key, F.col(f"m.{other}").alias(other))
 
 
 def radius_count(points: DataFrame, by: list[str], key: str, x: str, y: str, radius: float) -> DataFrame:
     """How many other points lie within the radius of each."""
     a = points.select(*by, key, F.col(x).alias("lx"), F.col(y).alias("ly"))
-    b = points.select(*by, F.col(key).alias("_other"), F.col(x).alias("rx"), F.col(y).alias("ry"))
-    p = near_pairs(a, b, by, (radius * 1.0000001, radius * 1.0000001)).filter(F.col(key) != F.col("_other"))
-    d2 = (F.col("lx") - F.col("rx")) * (F.col("lx") - F.col("rx")) + (F.col("ly") - F.col("ry")) * (F.col("ly") - F.col("ry"))
-    n = p.filter(d2 <= radius * radius).groupBy(*by, key).agg(F.count("*").alias("n"))
+    b = points.select(*by, F.col(key).alias("_other"), F.col(x).alias("rx"), F.col(y).alias("ry")).dropna(subset=["_other"])
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        left, right = _xy(a, "lx", "ly"), _xy(b, "rx", "ry")
+        codes = pa.chunked_array([*a[key].chunks, *b["_other"].chunks], a.schema.field(key).type).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        n = planar.count_in_radius(*left, *right, radius) - planar.count_same(*left, codes[: len(a)], *right, codes[len(a) :], radius)
+        return a.select([*by, key]).append_column("n", pa.array(n))
+
+    p = _tiles(a.dropna(subset=[key]), b, by, (radius, radius), search, f"{_types(a, [*by, key])}, n long")
+    n = p.groupBy(*by, key).agg(F.sum("n").alias("n"))
     return a.select(*by, key).join(n, [*by, key], "left").select(*by, key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
