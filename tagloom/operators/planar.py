@@ -35,7 +35,7 @@ def nearest_in_window(lx, ly, rx, ry, rank, reach):
     """(index or -1, dy) of the point nearest in y with |dx| and |dy| under reach, ties by rank: rows of equal y from near to
     far, in each the least rank of a range of x."""
     best, dy = np.full(len(lx), -1), np.zeros(len(lx))
-    if not len(rx):
+    if not len(lx) or not len(rx):
         return best, dy
     o = np.lexsort((rx, ry))
     x, y, rk = rx[o], ry[o], rank[o]
@@ -77,7 +77,7 @@ def nearest_in_window(lx, ly, rx, ry, rank, reach):
 def nearest_in_radius(lx, ly, rx, ry, rank, radius):
     """Index or -1 of the nearest point no further than radius, ties by rank: rings of cells around each, points that coincide once."""
     best, near = np.full(len(lx), -1), np.full(len(lx), np.inf)
-    if not len(rx):
+    if not len(lx) or not len(rx):
         return best
     o = np.lexsort((rank, ry, rx))
     o = o[np.append(True, (np.diff(rx[o]) != 0) | (np.diff(ry[o]) != 0))]
@@ -121,7 +121,7 @@ def count_in_radius(lx, ly, rx, ry, radius):
     """How many points lie within the radius of each: in narrow bands of y, what is surely inside by its place in x, and only the
     rim of the circle point by point."""
     n = np.zeros(len(lx), np.int64)
-    if not len(rx):
+    if not len(lx) or not len(rx):
         return n
     slack = radius * 1e-9 + 1e-14 * max(np.abs(v).max() for v in (lx, ly, rx, ry))
     thick = radius / 32 or 1.0

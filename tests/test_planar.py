@@ -39,3 +39,21 @@ def test_work_does_not_grow_with_pairs():
     assert planar.count_in_radius(x, y, x, y, 30.0).sum() > 1.5e9
     assert (planar.nearest_in_radius(x, y, x, y, np.arange(100_000), 25.0) >= 0).all()
     assert (planar.nearest_in_window(x, y, x, y, np.arange(100_000), (160.0, 50.0))[1] == 0).all()
+
+
+def test_tiles(spark):
+    """Keys repeat, places and keys are missing, tiles have a rim and no point of their own."""
+    from tagloom.operators import spatial
+
+    rnd = np.random.default_rng(4)
+    rows = [("ab"[i % 2], None if i == 5 else i % 90, None if i == 7 else float(rnd.integers(-60, 60)), float("nan") if i == 9 else float(rnd.integers(0, 9))) for i in range(120)]
+    rows += [("c", 1000, 0.0, 0.0), ("c", 1001, 11.9, 0.0), (None, 1002, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "g string, k long, x double, y double")
+    near = lambda a, b: None not in (a[0], a[2], b[2]) and a[0] == b[0] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 144
+    keys = {(r[0], r[1]) for r in rows}
+    n = {k: sum(near(a, b) for a in rows if a[:2] == k for b in rows if k[1] is not None and b[1] not in (None, k[1])) for k in keys}
+    got = spatial.radius_count(p, ["g"], "k", "x", "y", 12.0).collect()
+    assert len(got) == len(rows) and {((r.g, r.k), r.n) for r in got} == set(n.items())
+    left, right = p.filter("k <= 30 OR k >= 1000").toDF("g", "k", "lx", "ly"), p.filter("k > 30").select("g", p.x.alias("rx"), p.y.alias("ry"))
+    want = sorted(repr(tuple(a[:2])) for a in rows if a[1] is not None and (a[1] <= 30 or a[1] >= 1000) and not any(near(a, b) for b in rows if b[1] is not None and b[1] > 30))
+    assert sorted(repr(tuple(r)) for r in spatial.without_near(left, right, ["g"], "k", 12.0).collect()) == want
