@@ -6,6 +6,9 @@ shared storage, which cuts the lineage. A bound on rounds raises; it never trunc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,65 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) ->
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
 
+def reach_counts(edges: DataFrame, seeds: DataFrame, among: DataFrame | None = None, words: int = 4, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """seed, n, deepest: how many nodes each seed (column seed) reaches, itself left out, and how far the last is; seeds that
+    reach none drop out. With `among` (column node) only those count, and deepest is the last of them.
+
+    As `closure`, counted, but no row for each seed and node: seeds have a bit each, 64 in a word and `words` words in a row, and
+    a round moves the new bits of a node along its edges.
+    """
+    e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    s = cut(seeds.select("seed").filter("seed IS NOT NULL").distinct())
+    numbered = cut(_numbered(s))
+    bit = F.when(F.pmod("_i", F.lit(64)) == 63, F.lit(-(2**63)).cast("long")).otherwise(F.expr("shiftleft(1L, CAST(pmod(_i, 64) AS INT))"))
+    word, names = F.pmod(F.floor(F.col("_i") / 64), F.lit(words)), [f"_w{i}" for i in range(words)]
+    own = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(names)]
+    first = numbered.withColumn("_block", F.floor(F.col("_i") / (64 * words))).groupBy(F.col("seed").alias("node"), "_block").agg(*own)
+    rounds = Rounds(first)
+    frontier = rounds.all().drop("round")
+    for _ in range(max_rounds + 1):
+        step = frontier.join(e, frontier["node"] == e["src"]).groupBy(F.col("dst").alias("node"), "_block").agg(*[F.bit_or(w).alias(w) for w in names])
+        seen = rounds.all().groupBy("node", "_block").agg(*[F.bit_or(w).alias(f"{w}_") for w in names])
+        fresh = step.join(seen, ["node", "_block"], "left").select("node", "_block", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"{w}_", F.lit(0).cast("long")))).alias(w) for w in names])
+        frontier = rounds.add(fresh.filter(" OR ".join(f"{w} <> 0" for w in names)))
+        if frontier.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"reach not finished after {max_rounds} rounds")
+    new = rounds.all().filter("round > 0")
+    if among is not None:
+        new = new.join(among.select("node").distinct(), "node", "left_semi")
+    counts = new.select("_block", "round", *names).mapInPandas(_bit_counts(names), "_i long, round int, n long").groupBy("_i").agg(F.sum("n").alias("n"), F.max("round").alias("deepest"))
+    return counts.join(numbered, "_i").select("seed", "n", "deepest")
+
+
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """seed, _i: numbers from 0 without gaps in the order of seeds, so that neighbours share words; no partition holds all."""
+    p = cut(seeds.repartitionByRange("seed").withColumn("_p", F.spark_partition_id()))
+    place = p.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("seed")))
+    n = p.groupBy("_p").agg(F.count("*").alias("n"))
+    # one row for each partition
+    start = n.withColumn("_s", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return place.join(start.select("_p", "_s"), "_p").select("seed", (F.col("_s") + F.col("_r") - 1).alias("_i"))
+
+
+def _bit_counts(names: list[str]):
+    """Counts the set bits of each seed and round over a partition."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            for (block, depth), part in pdf.groupby(["_block", "round"]):
+                bits = np.ascontiguousarray(part[names].to_numpy(np.int64)).astype("<i8", copy=False).view(np.uint8)
+                n = np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                total[block, depth] = total.get((block, depth), 0) + n
+        for (block, depth), n in total.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"_i": at + block * 64 * len(names), "round": np.int32(depth), "n": n[at]})
+
+    return count
+
+
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure(reverse(edges), seeds)
 
@@ -165,8 +227,8 @@ def candidate_brief(edges: DataFrame, active: DataFrame, tolerance: float = 0.01
     """
     a = cut(active.select("node", "t").groupBy("node").agg(F.min("t").alias("t")))
     inner = cut(closure(within(edges, a), a.select(F.col("node").alias("seed"))).select("seed", "node").filter("seed <> node"))
-    full = closure(edges, a.select(F.col("node").alias("seed"))).join(a.select("node"), "node", "left_semi").filter("seed <> node")
-    explains = cut(a.join(full.groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("explains")), "node", "left").select("node", "t", F.coalesce("explains", F.lit(0)).alias("explains")))
+    full = reach_counts(edges, a.select(F.col("node").alias("seed")), among=a).select(F.col("seed").alias("node"), F.col("n").alias("explains"))
+    explains = cut(a.join(full, "node", "left").select("node", "t", F.coalesce("explains", F.lit(0)).alias("explains")))
     back = inner.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
     mutual = inner.intersect(back).groupBy(F.col("seed")).agg(F.min("node").alias("other")).withColumnRenamed("seed", "node")
     group = explains.join(mutual, "node", "left")
