@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators import graph
+from tagloom.operators import blocks, graph
+from tagloom.operators.durable import cut
+
+#: Rows of a block: a group of n rows is read n / SIDE times over.
+SIDE = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,7 +26,8 @@ def normalised(v: Column) -> Column:
 
 
 def cosine_pairs(vectors: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """group, a, b, cosine: pairs a < b within a group that are at least this similar."""
+    """group, a, b, cosine: pairs a < b within a group that are at least this similar. It lists all pairs of a group first and is
+    for small groups; `nearest` and `links` have the same cosines and don't."""
     v = vectors.select(group, key, normalised(F.col(vector)).alias("v"))
     a, b = v.select(group, F.col(key).alias("a"), F.col("v").alias("va")), v.select(group, F.col(key).alias("b"), F.col("v").alias("vb"))
     p = a.join(b, group).filter("a < b").select(group, "a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
@@ -32,6 +40,66 @@ def neighbours(pairs: DataFrame, top: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).filter(F.col("place") <= top)
 
 
+def _blocks(rows: DataFrame, by: list[str], key: str, side: int) -> DataFrame:
+    """by, _n, _block, rows: the rows of each `by` dealt into _n blocks by key, each block one list; rows without a key or `by` are in none."""
+    r = rows.dropna(subset=[*by, key])
+    n = r.groupBy(*by).agg(F.ceil(F.count("*") / side).cast("int").alias("_n"))
+    r = r.join(n, by).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    return cut(r.groupBy(*by, "_n", "_block").agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in by])).alias("rows")))
+
+
+def _vector_blocks(vectors: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """Vectors of a group and of one length; those without a number somewhere have no cosine."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    v = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+    v = vectors.select(F.col(group).alias("_g"), F.col(key).alias("key"), v.alias("v")).filter("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    return _blocks(v.withColumn("_d", F.size("v")), ["_g", "_d"], "key", SIDE)
+
+
+def _facing(b: DataFrame, by: list[str], halves: bool):
+    """Each block facing each of its `by`; with halves, each two once."""
+    to = lambda least, most: F.explode(F.sequence(least, most))
+    last, own, zero = F.col("_n") - 1, F.col("_block"), F.lit(0)
+    one = b.select(*by, own.alias("_i"), to(own if halves else zero, last).alias("_j"), "rows")
+    two = b.select(*by, to(zero, own if halves else last).alias("_i"), own.alias("_j"), "rows")
+    keys = [*by, "_i", "_j"]
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys))
+
+
+def _unpacked(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    rows = pa.concat_arrays([c.flatten() for c in table["rows"].chunks])
+    d = table["_d"][0].as_py()
+    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return rows.field("key"), flat.reshape(len(rows), d)
+
+
+def nearest(vectors: DataFrame, group: str, key: str, vector: str, top: int) -> DataFrame:
+    """key, other, cosine, place: the `top` partners of each key most similar within its group, ties by `other`; `top` is small.
+
+    As `neighbours` of all `cosine_pairs`, by matrix products of blocks: the arithmetic still grows with the square of a group,
+    rows do not."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def search(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not (len(one) and len(two)):  # a block that no key fell into
+            none = (one if len(one) else two)["rows"].type.value_type.field("key").type
+            return pa.table({"key": pa.array([], none), "other": pa.array([], none), "millionths": pa.array([], pa.int64())})
+        (ka, va), (kb, vb) = _unpacked(one), _unpacked(two)
+        rank = np.empty(len(kb), np.int64)
+        rank[pc.sort_indices(kb).to_numpy()] = np.arange(len(kb))
+        same = None
+        if one["_i"][0] == one["_j"][0]:
+            codes = pa.concat_arrays([ka, kb]).dictionary_encode().indices.to_numpy()
+            same = codes[: len(ka)], codes[len(ka) :]
+        i, j, c = blocks.most_similar(va, vb, rank, top, same)
+        return pa.table({"key": ka.take(pa.array(i)), "other": kb.take(pa.array(j)), "millionths": c})
+
+    found = _facing(_vector_blocks(vectors, group, key, vector), ["_g", "_d"], False).applyInArrow(search, f"key {kind}, other {kind}, millionths bigint")
+    w = Window.partitionBy("key").orderBy(F.desc("millionths"), "other")
+    best = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+    return best.select("key", "other", F.when(F.col("millionths") == blocks.NAN, float("nan")).otherwise(F.col("millionths") / 1e6).alias("cosine"), "place")
+
+
 def linkage_groups(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """key, group (its least member), size: single linkage over the pairs."""
     c = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), keys.select(F.col(keys.columns[0]).alias("node")))

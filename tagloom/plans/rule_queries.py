@@ -113,7 +113,7 @@ def packing(spark, d):
 
 def cosine_neighbours(spark, d):
     """The three most similar vectors of each, within its label."""
-    return S.neighbours(S.cosine_pairs(read(spark, d, "embeddings"), "label", "vec_id", "embedding", -1.0), 3).select("key", "other", "place")
+    return S.nearest(read(spark, d, "embeddings"), "label", "vec_id", "embedding", 3).select("key", "other", "place")
 
 
 def similarity_groups(spark, d):
