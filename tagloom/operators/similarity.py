@@ -57,13 +57,20 @@ def _vector_blocks(vectors: DataFrame, group: str, key: str, vector: str) -> Dat
 
 
 def _facing(b: DataFrame, by: list[str], halves: bool):
-    """Each block facing each of its `by`; with halves, each two once."""
+    """Each block with each of its `by`, itself included, as groups of one or two rows; with halves, each two once."""
     to = lambda least, most: F.explode(F.sequence(least, most))
     last, own, zero = F.col("_n") - 1, F.col("_block"), F.lit(0)
-    one = b.select(*by, own.alias("_i"), to(own if halves else zero, last).alias("_j"), "rows")
-    two = b.select(*by, to(zero, own if halves else last).alias("_i"), own.alias("_j"), "rows")
-    keys = [*by, "_i", "_j"]
-    return one.groupBy(*keys).cogroup(two.groupBy(*keys))
+    one = b.select(*by, own.alias("_i"), to(own if halves else zero, last).alias("_j"), "rows", F.lit(True).alias("_left"))
+    two = b.select(*by, to(zero, own if halves else last).alias("_i"), own.alias("_j"), "rows", F.lit(False).alias("_left"))
+    return one.unionByName(two.filter("_i <> _j")).groupBy(*by, "_i", "_j")
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table | None] | None:
+    """The two blocks of a group of `_facing`, the second None where a block faces itself; None if no key fell into one of them."""
+    if table["_i"][0] == table["_j"][0]:
+        return table, None
+    left = table["_left"].to_pylist()
+    return (table.slice(left.index(True), 1), table.slice(left.index(False), 1)) if len(left) == 2 else None
 
 
 def _unpacked(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
@@ -80,19 +87,18 @@ def nearest(vectors: DataFrame, group: str, key: str, vector: str, top: int) ->
     rows do not."""
     kind = vectors.schema[key].dataType.simpleString()
 
-    def search(one: pa.Table, two: pa.Table) -> pa.Table:
-        if not (len(one) and len(two)):  # a block that no key fell into
-            none = (one if len(one) else two)["rows"].type.value_type.field("key").type
-            return pa.table({"key": pa.array([], none), "other": pa.array([], none), "millionths": pa.array([], pa.int64())})
-        (ka, va), (kb, vb) = _unpacked(one), _unpacked(two)
-        rank = np.empty(len(kb), np.int64)
-        rank[pc.sort_indices(kb).to_numpy()] = np.arange(len(kb))
-        same = None
-        if one["_i"][0] == one["_j"][0]:
-            codes = pa.concat_arrays([ka, kb]).dictionary_encode().indices.to_numpy()
-            same = codes[: len(ka)], codes[len(ka) :]
-        i, j, c = blocks.most_similar(va, vb, rank, top, same)
-        return pa.table({"key": ka.take(pa.array(i)), "other": kb.take(pa.array(j)), "millionths": c})
+    def search(table: pa.Table) -> pa.Table:
+        if (sides := _sides(table)) is None:
+            keys, i, j, c = _unpacked(table)[0], [], [], []
+            others = keys
+        else:
+            keys, va = _unpacked(sides[0])
+            others, vb = (keys, va) if sides[1] is None else _unpacked(sides[1])
+            rank = np.empty(len(others), np.int64)
+            rank[pc.sort_indices(others).to_numpy()] = np.arange(len(others))
+            codes = keys.dictionary_encode().indices.to_numpy()
+            i, j, c = blocks.most_similar(va, vb, rank, top, (codes, codes) if sides[1] is None else None)
+        return pa.table({"key": keys.take(pa.array(i, pa.int64())), "other": others.take(pa.array(j, pa.int64())), "millionths": pa.array(c, pa.int64())})
 
     found = _facing(_vector_blocks(vectors, group, key, vector), ["_g", "_d"], False).applyInArrow(search, f"key {kind}, other {kind}, millionths bigint")
     w = Window.partitionBy("key").orderBy(F.desc("millionths"), "other")
@@ -100,6 +106,25 @@ def nearest(vectors: DataFrame, group: str, key: str, vector: str, top: int) ->
     return best.select("key", "other", F.when(F.col("millionths") == blocks.NAN, float("nan")).otherwise(F.col("millionths") / 1e6).alias("cosine"), "place")
 
 
+def links(vectors: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
+    """a, b: links that join the same keys as all `cosine_pairs` of at least this cosine, fewer than rows of the facing blocks."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def search(table: pa.Table) -> pa.Table:
+        if (sides := _sides(table)) is None:
+            keys, i, j = _unpacked(table)[0], [], []
+        elif sides[1] is None:
+            keys, va = _unpacked(table)
+            i, j = blocks.spanning_links(va, None, least)
+        else:
+            (keys, va), (more, vb) = _unpacked(sides[0]), _unpacked(sides[1])
+            i, j = blocks.spanning_links(va, vb, least)
+            keys = pa.concat_arrays([keys, more])
+        return pa.table({"a": keys.take(pa.array(i, pa.int64())), "b": keys.take(pa.array(j, pa.int64()))})
+
+    return _facing(_vector_blocks(vectors, group, key, vector), ["_g", "_d"], True).applyInArrow(search, f"a {kind}, b {kind}")
+
+
 def linkage_groups(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """key, group (its least member), size: single linkage over the pairs."""
     c = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), keys.select(F.col(keys.columns[0]).alias("node")))

@@ -118,7 +118,7 @@ def cosine_neighbours(spark, d):
 
 def similarity_groups(spark, d):
     v = read(spark, d, "embeddings")
-    return S.linkage_groups(S.cosine_pairs(v, "label", "vec_id", "embedding", 0.5), v.select("vec_id"))
+    return S.linkage_groups(S.links(v, "label", "vec_id", "embedding", 0.5), v.select("vec_id"))
 
 
 def composition_distance(spark, d):

@@ -54,3 +54,22 @@ def test_halves_are_rounded_as_the_formula_does():
     want = [math.floor(sum(x * y for x, y in zip(a[0], r, strict=True)) / math.sqrt(1.0 * (r[0] * r[0] + r[1] * r[1])) * 1e6 + 0.5) for r in b]
     assert next(blocks.millionths(a, b))[1][0].tolist() == want
     assert next(blocks.millionths(-a, b))[1][0].tolist() == [-x for x in want]
+
+
+def test_links_group_as_all_pairs(spark, side):
+    v = spark.createDataFrame(vectors(), SCHEMA)
+    keys = v.select("k").filter("k IS NOT NULL")
+    for least in (0.5, 0.95):
+        want = similarity.linkage_groups(similarity.cosine_pairs(v, "g", "k", "v", least), keys)
+        assert listed(similarity.linkage_groups(similarity.links(v, "g", "k", "v", least), keys)) == listed(want)
+
+
+def test_copies_make_few_links():
+    """A group of copies is a tree of few links to a row, not all pairs; a chain is joined from end to end, across blocks too."""
+    i, j = blocks.spanning_links(np.ones((5000, 3)), None, 0.5)
+    assert len(i) == 4999 and np.bincount(np.concatenate([i, j])).max() == 17
+    turn = np.random.default_rng(7).permutation(300) * 0.02
+    chain = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    assert len(blocks.spanning_links(chain, None, 0.9997)[0]) == 299
+    i, j = blocks.spanning_links(chain[np.argsort(turn)[::2]], chain[np.argsort(turn)[1::2]], 0.9997)
+    assert len(i) == 299 and max(i.max(), j.max()) == 299
