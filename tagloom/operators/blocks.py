@@ -104,3 +104,67 @@ def spanning_links(va: np.ndarray, vb: np.ndarray | None, least: float) -> tuple
     place = np.arange(len(order)) - start
     child = place > 0
     return order[(start + (place - 1) // 16)[child]], order[child]
+
+
+#: What one listed pair costs against one cell of a dense column.
+LISTED = 512
+
+
+def shared_counts(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], shape: tuple[int, int], patterns: int, largest: int) -> np.ndarray:
+    """For rows of two blocks, the sum over patterns of the lesser count. a, b: row, pattern and count of each entry, each row and
+    pattern once; largest: the largest sum of a row. Sums are whole numbers that the float type holds exactly.
+
+    The lesser of two counts is the number of levels that both reach, so a pattern that many rows have is a few columns of a
+    matrix product; a pattern with few rows, or with too many levels for that, has its pairs listed."""
+    kind = np.float32 if largest < 1 << 24 else np.float64
+    out = np.zeros(shape, kind)
+    a, b = (tuple(c[np.argsort(x[1], kind="stable")] for c in x) for x in (a, b))
+    na, nb = np.bincount(a[1], minlength=patterns), np.bincount(b[1], minlength=patterns)
+    top_a, top_b = np.zeros(patterns, np.int64), np.zeros(patterns, np.int64)
+    np.maximum.at(top_a, a[1], a[2])
+    np.maximum.at(top_b, b[1], b[2])
+    levels = np.unique(np.stack([np.concatenate([a[1], b[1]]).astype(np.int64), np.concatenate([a[2], b[2]]).astype(np.int64)]), axis=1)
+    levels = levels[:, levels[1] <= np.minimum(top_a, top_b)[levels[0]]]
+    # the least of the two largest counts is a level of its own, so no part of a lesser count is lost
+    dense = na * nb * LISTED > np.bincount(levels[0], minlength=patterns) * (shape[0] * shape[1])
+    levels = levels[:, dense[levels[0]]]
+    first = np.r_[True, levels[0][1:] != levels[0][:-1]][: levels.shape[1]]
+    gap = np.where(first, levels[1], np.diff(levels[1], prepend=0)).astype(kind)
+    for s in range(0, levels.shape[1], 2048):
+        p, least = levels[:, s : s + 2048]
+        fa, fb = _reached(a, p, least, shape[0], kind), _reached(b, p, least, shape[1], kind)
+        fa *= gap[s : s + 2048]
+        for r in range(0, shape[0], 512):
+            out[r : r + 512] += fa[r : r + 512] @ fb.T
+    _list(a, b, na, nb, dense, out)
+    return out
+
+
+def _reached(x: tuple[np.ndarray, np.ndarray, np.ndarray], p: np.ndarray, least: np.ndarray, rows: int, kind: type) -> np.ndarray:
+    """rows x levels: 1 where the row's count of the level's pattern reaches it. p is sorted, and x by pattern."""
+    f = np.zeros((rows, len(p)), kind)
+    start, end = np.searchsorted(x[1], p), np.searchsorted(x[1], p, side="right")
+    for k, (s, e) in enumerate(zip(start, end, strict=True)):
+        f[x[0][s:e][x[2][s:e] >= least[k]], k] = 1
+    return f
+
+
+def _list(a: tuple, b: tuple, na: np.ndarray, nb: np.ndarray, dense: np.ndarray, out: np.ndarray) -> None:
+    """Adds the lesser counts of patterns that are not dense, pair by pair, a million pairs at a time."""
+    keep = ~dense[a[1]] & (nb[a[1]] > 0)
+    row, pattern, count = (c[keep] for c in a)
+    times, start = nb[pattern], (np.cumsum(nb) - nb)[pattern]
+    ends, s = np.cumsum(times), 0
+    while s < len(row):
+        e = max(s + 1, int(np.searchsorted(ends, ends[s] - times[s] + (1 << 20), side="right")))
+        t = times[s:e]
+        at = np.repeat(start[s:e] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+        np.add.at(out.reshape(-1), np.repeat(row[s:e].astype(np.int64) * out.shape[1], t) + b[0][at], np.minimum(np.repeat(count[s:e], t), b[2][at]).astype(out.dtype))
+        s = e
+
+
+def distances(shared: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """1 - shared / most to six places, halves up, in the steps of the SQL."""
+    y = (1 - shared.astype(np.float64) / most) * 1e6
+    whole = np.trunc(y)
+    return (whole + (y - whole >= 0.5)) / 1e6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -146,13 +148,57 @@ def search(index: DataFrame, terms: list[str], system: str | None = None) -> Dat
 
 
 def composition_distance(items: DataFrame, owner: str, pattern: str) -> DataFrame:
-    """a, b, distance between owners that share a pattern: 1 - shared / larger of the two multisets."""
-    c = items.groupBy(owner, pattern).agg(F.count("*").alias("c"))
-    n = c.groupBy(owner).agg(F.sum("c").alias("n"))
-    a, b = c.select(pattern, F.col(owner).alias("a"), F.col("c").alias("ca")), c.select(pattern, F.col(owner).alias("b"), F.col("c").alias("cb"))
-    s = a.join(b, pattern).filter("a < b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("shared"))
-    s = s.join(n.select(F.col(owner).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(owner).alias("b"), F.col("n").alias("nb")), "b")
-    return s.select("a", "b", F.round(1 - F.col("shared") / F.greatest("na", "nb"), 6).alias("distance"))
+    """a, b, distance between owners that share a pattern: 1 - shared / larger of the two multisets.
+
+    Blocks of owners meet, so there is no row for a shared pattern of two owners; the result itself has a row for every two
+    owners that share one, which may be all."""
+    kind, what = (items.schema[c].dataType.simpleString() for c in (owner, pattern))
+    c = items.select(F.col(owner).alias("key"), F.col(pattern).alias("pattern")).filter("key IS NOT NULL").groupBy("key", "pattern").agg(F.count("*").alias("c"))
+    n = c.groupBy("key").agg(F.sum("c").alias("n"))
+    blocks_of = n.agg(F.greatest(F.ceil(F.count("*") / SIDE), F.lit(1)).cast("int").alias("_n"))
+    n = n.crossJoin(F.broadcast(blocks_of)).withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_n")).cast("int"))
+    packed = c.filter("pattern IS NOT NULL").join(n, "key").groupBy("_n", "_block").applyInArrow(_packed, f"_n int, _block int, keys array<{kind}>, n array<bigint>, patterns array<{what}>, row array<int>, pattern array<int>, c array<bigint>")
+    b = cut(packed.select(F.lit(0).alias("_g"), "_n", "_block", F.struct("keys", "n", "patterns", "row", "pattern", "c").alias("rows")))
+    return _facing(b, ["_g"], True).applyInArrow(_distances, f"a {kind}, b {kind}, distance double")
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A block's owners with their sizes, patterns, and entries by the places of both, as one row."""
+    keys, patterns = (table[c].combine_chunks().dictionary_encode() for c in ("key", "pattern"))
+    n = np.zeros(len(keys.dictionary), np.int64)
+    n[keys.indices.to_numpy()] = table["n"].to_numpy()
+    lists = {"keys": keys.dictionary, "n": pa.array(n), "patterns": patterns.dictionary, "row": keys.indices, "pattern": patterns.indices, "c": table["c"].combine_chunks()}
+    one = {k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for k, x in lists.items()}
+    return pa.table({"_n": table["_n"].slice(0, 1), "_block": table["_block"].slice(0, 1), **one})
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sides = _sides(pa.Table.from_batches(list(batches)))
+    if sides is None:
+        return
+    own = sides[1] is None
+    one, two = ({f.name: x["rows"].combine_chunks().field(f.name).flatten() for f in x["rows"].type} for x in (sides[0], sides[0] if own else sides[1]))
+    codes = pa.concat_arrays([one["patterns"], two["patterns"]]).dictionary_encode()
+    code = codes.indices.to_numpy()
+    at = lambda x, skip: (x["row"].to_numpy(), code[skip + x["pattern"].to_numpy()], x["c"].to_numpy())
+    n, m = one["n"].to_numpy(), two["n"].to_numpy()
+    shared = blocks.shared_counts(at(one, 0), at(two, len(one["patterns"])), (len(n), len(m)), len(codes.dictionary), max(n.max(), m.max()))
+    keys = pa.concat_arrays([one["keys"], two["keys"]])
+    rank = np.empty(len(keys), np.int64)
+    rank[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    left, right = rank[: len(n)], rank[len(n) :]
+    if own:  # each key is there twice
+        right = left
+    step = max(1, (blocks.CELLS // 2) // len(m))
+    for s in range(0, len(n), step):
+        hit = shared[s : s + step] > 0
+        if own:
+            hit &= left[s : s + step, None] < right
+        i, j = np.nonzero(hit)
+        i += s
+        less = left[i] < right[j]
+        a, b = np.where(less, i, len(n) + j), np.where(less, len(n) + j, i)
+        yield pa.record_batch({"a": keys.take(pa.array(a)), "b": keys.take(pa.array(b)), "distance": pa.array(blocks.distances(shared[i, j], np.maximum(n[i], m[j])))})
 
 
 def fingerprint_distance(a: Column, b: Column) -> Column:

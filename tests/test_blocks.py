@@ -73,3 +73,30 @@ def test_copies_make_few_links():
     assert len(blocks.spanning_links(chain, None, 0.9997)[0]) == 299
     i, j = blocks.spanning_links(chain[np.argsort(turn)[::2]], chain[np.argsort(turn)[1::2]], 0.9997)
     assert len(i) == 299 and max(i.max(), j.max()) == 299
+
+
+@pytest.mark.parametrize("listed", [0, 1, 512, 1 << 40])
+def test_shared_counts(monkeypatch, listed):
+    """Frequent and rare patterns, few and many levels, as columns and as lists."""
+    monkeypatch.setattr(blocks, "LISTED", listed)
+    rnd = np.random.default_rng(8)
+    full = rnd.poisson(1.0, (70, 40)) * (rnd.random((70, 40)) < rnd.random(40) ** 3) + (rnd.random((70, 40)) < 0.02) * rnd.integers(0, 10**6, (70, 40))
+    a, b = full[:30], full[30:]
+    entries = lambda x: (*np.nonzero(x), x[np.nonzero(x)])
+    for largest in (1 << 23, 1 << 30):
+        want = np.minimum(a[:, None], b[None]).sum(axis=2)
+        got = blocks.shared_counts(entries(a), entries(b), (30, 40), 40, largest)
+        assert (got == want).all() or largest == 1 << 23 and want.max() >= 1 << 24
+
+
+def test_composition(spark, monkeypatch):
+    """Against all pairs, in blocks; owners without a pattern of their own, missing patterns and owners."""
+    from collections import Counter
+
+    monkeypatch.setattr(similarity, "SIDE", 8)
+    rnd = np.random.default_rng(9)
+    rows = [(f"o{rnd.integers(0, 40)}", f"p{int(rnd.random() ** 3 * 60)}") for _ in range(900)] + [("o1", None), ("o2", None), (None, "p1"), ("x", "only"), ("y", None)]
+    of = {o: Counter(p for k, p in rows if k == o) for o in {k for k, _ in rows if k}}
+    both = [(x, y, sum((of[x] & of[y]).values()) - min(of[x][None], of[y][None])) for x in of for y in of if x < y]
+    want = sorted((x, y, math.floor((1 - s / max(of[x].total(), of[y].total())) * 1e6 + 0.5) / 1e6) for x, y, s in both if s)
+    assert sorted(map(tuple, similarity.composition_distance(spark.createDataFrame(rows, "o string, p string"), "o", "p").collect())) == want
