@@ -20,10 +20,21 @@ def place(df: DataFrame) -> str:
     return f"{base.rstrip('/')}/rounds/{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet. Its shuffle files go as soon as it is written, not when the driver next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to shared storage and read again."""
     path = place(df)
-    df.write.parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,7 +49,7 @@ class Rounds:
         """Write the next round's rows; returns them."""
         self.last += 1
         here = f"{self.path}/round={self.last}"
-        new.select(*self.schema.names).write.parquet(here)
+        _write(new.select(*self.schema.names), here)
         return self.spark.read.schema(self.schema).parquet(here)
 
     def all(self) -> DataFrame:

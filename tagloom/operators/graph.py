@@ -41,7 +41,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) ->
 
 def reach_counts(edges: DataFrame, seeds: DataFrame, among: DataFrame | None = None, words: int = 4, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """seed, n, deepest: how many nodes each seed (column seed) reaches, itself left out, and how far the last is; seeds that
-    reach none drop out. With `among` (column node) only those count, and deepest is the last of them.
+    reach none drop out. With `among` (column node) only those count, and deepest is the last of them; if it has a column
+    weight, a node counts so often.
 
     As `closure`, counted, but no row for each seed and node: seeds have a bit each, 64 in a word and `words` words in a row, and
     a round moves the new bits of a node along its edges.
@@ -64,13 +65,77 @@ def reach_counts(edges: DataFrame, seeds: DataFrame, among: DataFrame | None = N
             break
     else:
         raise RuntimeError(f"reach not finished after {max_rounds} rounds")
-    new = rounds.all().filter("round > 0")
-    if among is not None:
+    new = rounds.all().filter("round > 0").withColumn("weight", F.lit(1).cast("long"))
+    if among is not None and "weight" in among.columns:
+        new = new.drop("weight").join(among.groupBy("node").agg(F.sum("weight").alias("weight")).filter("weight > 0"), "node")
+    elif among is not None:
         new = new.join(among.select("node").distinct(), "node", "left_semi")
-    counts = new.select("_block", "round", *names).mapInPandas(_bit_counts(names), "_i long, round int, n long").groupBy("_i").agg(F.sum("n").alias("n"), F.max("round").alias("deepest"))
+    counts = new.select("_block", "round", "weight", *names).mapInPandas(_bit_counts(names), "_i long, round int, n long").groupBy("_i").agg(F.sum("n").alias("n"), F.max("round").alias("deepest"))
     return counts.join(numbered, "_i").select("seed", "n", "deepest")
 
 
+def mutual_groups(edges: DataFrame, sources: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """node, group: nodes of one group reach each other, and group is the source (column node) among them that names it. Not all
+    that reach each other need share a group: this makes a graph smaller before something exact is asked of it.
+
+    Sources spread their names forwards, the greater over the lesser; what leads back to a source through nodes of its name is its
+    group. Each walk ends where a round reaches under a hundredth of what was reached, since a group stays right without its rest.
+    """
+    rounds = Rounds(sources.select("node", F.col("node").alias("group")).filter("node IS NOT NULL").distinct())
+    frontier = rounds.all().drop("round")
+    for _ in range(max_rounds):
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("group").alias("group"))
+        had = rounds.all().groupBy("node").agg(F.max("group").alias("_had"))
+        frontier = rounds.add(step.join(had, "node", "left").filter("_had IS NULL OR group > _had"))
+        if frontier.count() * 100 <= rounds.all().count():
+            break
+    named = cut(rounds.all().groupBy("node").agg(F.max("group").alias("group")))
+    inner = edges.join(named.select(F.col("node").alias("src"), "group"), "src").join(named.select(F.col("node").alias("dst"), "group"), ["dst", "group"])
+    inner = cut(inner.select("src", "dst"))
+    rounds = Rounds(named.filter("node = group"))
+    frontier = rounds.all().drop("round")
+    for _ in range(max_rounds):
+        step = frontier.join(inner, frontier["node"] == inner["dst"]).select(F.col("src").alias("node"), "group").distinct()
+        frontier = rounds.add(step.join(rounds.all().select("node"), "node", "left_anti"))
+        if frontier.count() * 100 <= rounds.all().count():
+            break
+    return rounds.all().drop("round")
+
+
+def _renamed(df: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+    """df with the group in place of a node in a column; nodes without a group stay."""
+    g = groups.select(F.col("node").alias("_node"), F.col("group").alias("_group"))
+    return df.join(g, df[column] == g["_node"], "left").withColumn(column, F.coalesce("_group", column)).drop("_node", "_group")
+
+
+def reach_sizes(edges: DataFrame, seeds: DataFrame, among: DataFrame, few: int = 256, degree: int = 6) -> DataFrame:
+    """seed, n: how many of `among` (column node) each seed (column seed) reaches, itself left out; seeds that reach none drop
+    out. As `reach_counts` without deepest, for graphs whose nodes mostly reach each other.
+
+    Groups of nodes that reach each other become one node, as long as that takes away half of the edges and more than `few` seeds
+    are left. A dense graph is grouped by some `degree` edges a node first; every edge that groups do not hold stays in.
+    """
+    e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    s = cut(seeds.select("seed").filter("seed IS NOT NULL").distinct().withColumn("node", F.col("seed")))
+    size = cut(among.select("node").filter("node IS NOT NULL").distinct().withColumn("own", F.col("node")))
+    n = e.count()
+    while s.select("node").distinct().count() > few:
+        nodes = e.agg(F.approx_count_distinct("src")).first()[0]
+        part = cut(e.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(n)) < degree * nodes)) if n > 2 * degree * nodes else e
+        groups = cut(mutual_groups(part, s.select("node")))
+        e = cut(_renamed(_renamed(e, "src", groups), "dst", groups).filter("src <> dst").distinct())
+        s, size = cut(_renamed(s, "node", groups)), cut(_renamed(size, "node", groups))
+        before, n = n, e.count()
+        if 2 * n > before:
+            break
+    weight = cut(size.groupBy("node").agg(F.count("*").alias("weight")))
+    far = reach_counts(e, s.select(F.col("node").alias("seed")), weight).select(F.col("seed").alias("node"), "n")
+    own = size.select(F.col("own").alias("seed"), F.lit(1).alias("self"))
+    out = s.join(far, "node", "left").join(weight, "node", "left").join(own, "seed", "left")
+    out = out.select("seed", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(0)) - F.coalesce("self", F.lit(0))).alias("n"))
+    return out.filter("n > 0")
+
+
 def _numbered(seeds: DataFrame) -> DataFrame:
     """seed, _i: numbers from 0 without gaps in the order of seeds, so that neighbours share words; no partition holds all."""
     p = cut(seeds.repartitionByRange("seed").withColumn("_p", F.spark_partition_id()))
@@ -89,7 +154,7 @@ def _bit_counts(names: list[str]):
         for pdf in batches:
             for (block, depth), part in pdf.groupby(["_block", "round"]):
                 bits = np.ascontiguousarray(part[names].to_numpy(np.int64)).astype("<i8", copy=False).view(np.uint8)
-                n = np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                n = part["weight"].to_numpy(np.int64) @ np.unpackbits(bits, axis=1, bitorder="little")
                 total[block, depth] = total.get((block, depth), 0) + n
         for (block, depth), n in total.items():
             at = np.flatnonzero(n)
@@ -226,8 +291,9 @@ def candidate_brief(edges: DataFrame, active: DataFrame, tolerance: float = 0.01
     An alarm that rang before all its active ancestors is a candidate too. Columns: explains = active alarms reached.
     """
     a = cut(active.select("node", "t").groupBy("node").agg(F.min("t").alias("t")))
+    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     inner = cut(closure(within(edges, a), a.select(F.col("node").alias("seed"))).select("seed", "node").filter("seed <> node"))
-    full = reach_counts(edges, a.select(F.col("node").alias("seed")), among=a).select(F.col("seed").alias("node"), F.col("n").alias("explains"))
+    full = reach_sizes(edges, a.select(F.col("node").alias("seed")), a).select(F.col("seed").alias("node"), F.col("n").alias("explains"))
     explains = cut(a.join(full, "node", "left").select("node", "t", F.coalesce("explains", F.lit(0)).alias("explains")))
     back = inner.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
     mutual = inner.intersect(back).groupBy(F.col("seed")).agg(F.min("node").alias("other")).withColumnRenamed("seed", "node")

@@ -34,3 +34,45 @@ def test_no_closure_of_the_whole_graph(spark, monkeypatch, name):
 
     monkeypatch.setattr(G, "closure", noted)
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("degree", [1, 6])
+def test_reach_sizes_as_closure(spark, degree):
+    """Two plants of cycles, chains into and out of them, and seeds that are no nodes; grouped by some edges or by all."""
+    rnd = random.Random(degree)
+    rows = [(base + rnd.randrange(0, 60), base + rnd.randrange(0, 60)) for base in (0, 100) for _ in range(300)]
+    rows += [(60 + i, 61 + i) for i in range(12)] + [(72, 5), (7, 80)] + [(80 + i, 81 + i) for i in range(12)] + [(200, 201), (201, 200), (None, 3), (4, None), (9, 9)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    seeds = spark.createDataFrame([(i,) for i in [*range(0, 210, 2), 8, 8, None]], "seed long")
+    among = spark.createDataFrame([(i,) for i in [*range(0, 210, 3), 9, None]], "node long")
+    c = G.closure(edges.dropna(), seeds).filter("seed <> node").join(among.distinct(), "node", "left_semi")
+    want = {tuple(r) for r in c.groupBy("seed").count().collect()}
+    for few in (0, 20, 256):
+        assert {tuple(r) for r in G.reach_sizes(edges, seeds, among, few, degree).collect()} == want
+
+
+def test_mutual_groups_reach_each_other(spark):
+    rnd = random.Random(5)
+    edges = spark.createDataFrame([(rnd.randrange(0, 50), rnd.randrange(0, 50)) for _ in range(120)], "src long, dst long")
+    groups = G.mutual_groups(edges, spark.createDataFrame([(i,) for i in range(0, 50, 4)], "node long")).collect()
+    reach = {tuple(r)[:2] for r in G.closure(edges, spark.createDataFrame([(i,) for i in range(50)], "seed long")).collect()}
+    assert len({r["node"] for r in groups}) == len(groups) > len({r["group"] for r in groups})
+    assert all(r["node"] == r["group"] or {(r["node"], r["group"]), (r["group"], r["node"])} <= reach for r in groups)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_candidate_brief_groups_what_reaches_each_other(spark, monkeypatch):
+    """The rows of reach are of groups, not of nodes: on a cycle of 600 alarms one seed is left."""
+    left, counts = [], G.reach_counts
+
+    def noted(edges, seeds, *more):
+        left.append((edges.count(), seeds.distinct().count()))
+        return counts(edges, seeds, *more)
+
+    monkeypatch.setattr(G, "reach_counts", noted)
+    rnd = random.Random(6)
+    rows = [(i, (i + 1) % 600) for i in range(600)] + [(rnd.randrange(600), rnd.randrange(600)) for _ in range(3000)]
+    active = spark.createDataFrame([(i, float(i)) for i in range(600)], "node long, t double")
+    got = G.candidate_brief(spark.createDataFrame(rows, "src long, dst long"), active).collect()
+    assert [(r["node"], r["explains"], r["members"]) for r in got if not r["detached"]] == [(0, 599, 600)]
+    assert left and left[0][1] < 60
