@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tagloom.operators.durable import Rounds, cut
 
 MAX_ROUNDS = 200
+#: Edges up to which a graph is not split into components first, and up to which a component goes to a task whole; bits of a
+#: task's table of nodes and seeds (96 MB).
+WHOLE, TASK_EDGES, TASK_BITS = 500_000, 4_000_000, 3 * 2**28
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -44,12 +47,114 @@ def reach_counts(edges: DataFrame, seeds: DataFrame, among: DataFrame | None = N
     reach none drop out. With `among` (column node) only those count, and deepest is the last of them; if it has a column
     weight, a node counts so often.
 
-    As `closure`, counted, but no row for each seed and node: seeds have a bit each, 64 in a word and `words` words in a row, and
-    a round moves the new bits of a node along its edges.
+    As `closure`, counted, but no row for each seed and node. A component goes to tasks whole, once for each block of its seeds,
+    and is walked there with a bit for each seed of the block. What is beyond `TASK_EDGES` goes by rounds of all tasks.
     """
     e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    s = cut(seeds.select("seed").filter("seed IS NOT NULL").distinct())
-    numbered = cut(_numbered(s))
+    s, only = cut(seeds.select("seed").filter("seed IS NOT NULL").distinct()), None
+    if among is not None:
+        weight = F.sum("weight") if "weight" in among.columns else F.lit(1).cast("long")
+        only = cut(among.filter("node IS NOT NULL").groupBy("node").agg(weight.alias("weight")).filter("weight > 0"))
+    if e.count() <= WHOLE:
+        e, t = e.withColumn("component", F.lit(0)), s.withColumn("component", F.lit(0))
+        o, nodes = None if only is None else only.withColumn("component", F.lit(0)), None
+    else:
+        labels = components(e, e.select(F.col("src").alias("node")).union(e.select("dst")))
+        e = cut(e.join(labels.withColumnRenamed("node", "src"), "src").select("src", "dst", "component"))
+        t = cut(s.join(labels.withColumnRenamed("node", "seed"), "seed"))
+        o, nodes = None if only is None else cut(only.join(labels, "node")), labels.groupBy("component").agg(F.count("*").alias("_nodes"))
+    size = e.groupBy("component").agg(F.count("*").alias("_edges")).join(t.groupBy("component").agg(F.count("*").alias("_seeds")), "component")
+    size = cut(size.withColumn("_nodes", 2 * F.col("_edges")) if nodes is None else size.join(nodes, "component"))
+    found = _reach_in_tasks(e, t, o, size.filter(F.col("_edges") <= TASK_EDGES), max_rounds)
+    large = size.filter(F.col("_edges") > TASK_EDGES).select("component")
+    if large.isEmpty():
+        return found
+    rest = lambda df: cut(df.join(large, "component", "left_semi").drop("component"))
+    return found.unionByName(_reach_by_rounds(rest(e), rest(t), None if o is None else rest(o), words, max_rounds))
+
+
+def _reach_in_tasks(e: DataFrame, s: DataFrame, among: DataFrame | None, size: DataFrame, max_rounds: int) -> DataFrame:
+    """`reach_counts` of the components in size (component, _edges, _seeds, _nodes); a task holds a component and a block of its seeds.
+
+    Blocks are of 64 seeds or more, an eighth of the component's, as far as the bits of its nodes fit a task.
+    """
+    fit = F.floor(F.lit(TASK_BITS / 64) / (F.col("_nodes") + 1))
+    wide = size.select("component", (64 * F.greatest(F.lit(1), F.least(F.ceil(F.col("_seeds") / 512), fit))).alias("_wide"))
+    numbered = cut(_numbered(s, "component", "seed"))
+    first = numbered.groupBy("component").agg(F.min("_i").alias("_first"))
+    placed = numbered.join(first, "component").join(wide, "component").select("component", "seed", F.floor((F.col("_i") - F.col("_first")) / F.col("_wide")).alias("_block"))
+    placed = cut(placed)
+    blocks = placed.select("component", "_block").distinct()
+    row = lambda kind, src, dst, weight: ("component", "_block", F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), weight.alias("weight"))
+    none = F.lit(0).cast("long")
+    rows = e.join(blocks, "component").select(*row(0, "src", "dst", none)).unionAll(placed.select(*row(1, "seed", "seed", none)))
+    if among is not None:
+        rows = rows.unionAll(among.join(blocks, "component").select(*row(2, "node", "node", F.col("weight"))))
+    kind = s.schema["seed"].dataType.simpleString()
+    return rows.groupBy("component", "_block").applyInPandas(_reach_of_block(among is not None, max_rounds), f"seed {kind}, n long, deepest int")
+
+
+def _reach_of_block(some: bool, max_rounds: int, rows: int = 1 << 16):
+    """Walks a component from a block of seeds, 64 seeds in a word. Kinds of rows: 0 edge, 1 seed, 2 node that counts (if some)."""
+
+    def bits(table: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(table).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = pdf["kind"].to_numpy()
+        at, names = pd.factorize(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+        src, dst = at[: len(pdf)].astype(np.int32), at[len(pdf) :].astype(np.int32)
+        seeds, counted = src[kind == 1], src[kind == 2]
+        weight = np.zeros(len(names)) if some else np.ones(len(names))
+        weight[counted] = pdf["weight"].to_numpy()[kind == 2]
+        tail, head = src[kind == 0], dst[kind == 0]
+        order = np.argsort(head, kind="stable")
+        tail, head = tail[order], head[order]
+        j = np.arange(len(seeds))
+        seen = np.zeros((len(names), -(-len(seeds) // 64)), np.uint64)
+        seen[seeds, j // 64] = np.uint64(1) << (j % 64).astype(np.uint64)
+        new, fresh = seen.copy(), np.zeros_like(seen)
+        live = np.zeros(len(names), bool)
+        live[seeds] = True
+        deepest = np.zeros(len(seeds), np.int32)
+        for depth in range(1, max_rounds + 2):
+            step = np.flatnonzero(live[tail])
+            if not len(step):
+                break
+            h = head[step]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            cuts = np.unique(np.searchsorted(starts, np.arange(0, len(step), rows), side="left"))
+            live[:] = False
+            last = np.zeros((1, seen.shape[1]), np.uint64)
+            for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+                if a == b:
+                    continue
+                lo, hi = starts[a], starts[b] if b < len(starts) else len(step)
+                nodes = h[starts[a:b]]
+                got = np.bitwise_or.reduceat(new[tail[step[lo:hi]]], starts[a:b] - lo, axis=0) & ~seen[nodes]
+                is_new = got.any(axis=1)
+                nodes, got = nodes[is_new], got[is_new]
+                seen[nodes] |= got
+                fresh[nodes] = got
+                live[nodes] = True
+                last |= np.bitwise_or.reduce(got[weight[nodes] > 0], axis=0)
+            new, fresh = fresh, new  # rows that are not live are not read
+            deepest[bits(last)[0, : len(seeds)] > 0] = depth
+        else:
+            raise RuntimeError(f"reach not finished after {max_rounds} rounds")
+        n = -weight[seeds]
+        for a in range(0, len(names), 4096):
+            n += (weight[a : a + 4096] @ bits(seen[a : a + 4096]).astype(np.float64))[: len(seeds)]
+        out = pd.DataFrame({"seed": names[seeds], "n": n.astype(np.int64), "deepest": deepest})
+        return out[out["n"] > 0]
+
+    return count
+
+
+def _reach_by_rounds(e: DataFrame, s: DataFrame, among: DataFrame | None, words: int, max_rounds: int) -> DataFrame:
+    """`reach_counts` where a component is beyond a task: seeds have a bit each, 64 in a word and `words` words in a row, and a
+    round moves the new bits of a node along its edges. among: node, weight."""
+    numbered = cut(_numbered(s, "seed"))
     bit = F.when(F.pmod("_i", F.lit(64)) == 63, F.lit(-(2**63)).cast("long")).otherwise(F.expr("shiftleft(1L, CAST(pmod(_i, 64) AS INT))"))
     word, names = F.pmod(F.floor(F.col("_i") / 64), F.lit(words)), [f"_w{i}" for i in range(words)]
     own = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(names)]
@@ -66,10 +171,8 @@ def reach_counts(edges: DataFrame, seeds: DataFrame, among: DataFrame | None = N
     else:
         raise RuntimeError(f"reach not finished after {max_rounds} rounds")
     new = rounds.all().filter("round > 0").withColumn("weight", F.lit(1).cast("long"))
-    if among is not None and "weight" in among.columns:
-        new = new.drop("weight").join(among.groupBy("node").agg(F.sum("weight").alias("weight")).filter("weight > 0"), "node")
-    elif among is not None:
-        new = new.join(among.select("node").distinct(), "node", "left_semi")
+    if among is not None:
+        new = new.drop("weight").join(among, "node")
     counts = new.select("_block", "round", "weight", *names).mapInPandas(_bit_counts(names), "_i long, round int, n long").groupBy("_i").agg(F.sum("n").alias("n"), F.max("round").alias("deepest"))
     return counts.join(numbered, "_i").select("seed", "n", "deepest")
 
@@ -136,14 +239,14 @@ def reach_sizes(edges: DataFrame, seeds: DataFrame, among: DataFrame, few: int =
     return out.filter("n > 0")
 
 
-def _numbered(seeds: DataFrame) -> DataFrame:
-    """seed, _i: numbers from 0 without gaps in the order of seeds, so that neighbours share words; no partition holds all."""
-    p = cut(seeds.repartitionByRange("seed").withColumn("_p", F.spark_partition_id()))
-    place = p.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("seed")))
+def _numbered(seeds: DataFrame, *by: str) -> DataFrame:
+    """seeds with _i: numbers from 0 without gaps in the order of `by`, so that neighbours share words; no partition holds all."""
+    p = cut(seeds.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
+    place = p.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
     n = p.groupBy("_p").agg(F.count("*").alias("n"))
     # one row for each partition
     start = n.withColumn("_s", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return place.join(start.select("_p", "_s"), "_p").select("seed", (F.col("_s") + F.col("_r") - 1).alias("_i"))
+    return place.join(start.select("_p", "_s"), "_p").select(*seeds.columns, (F.col("_s") + F.col("_r") - 1).alias("_i"))
 
 
 def _bit_counts(names: list[str]):

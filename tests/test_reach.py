@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,54 @@ def test_no_closure_of_the_whole_graph(spark, monkeypatch, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("whole, most", [(0, 4_000_000), (0, 100), (0, 0)])
+def test_reach_counts_of_components(spark, monkeypatch, whole, most):
+    """Components in tasks, beside one too large for a task, and all by rounds; more than a block of seeds; names as nodes."""
+    monkeypatch.setattr(G, "WHOLE", whole)
+    monkeypatch.setattr(G, "TASK_EDGES", most)
+    rnd = random.Random(most)
+    rows = [(rnd.randrange(0, 90), rnd.randrange(0, 90)) for _ in range(180)] + [(100 + rnd.randrange(0, 40), 100 + rnd.randrange(0, 40)) for _ in range(60)]
+    edges = spark.createDataFrame([(f"P{a}", f"P{b}") for a, b in rows] + [(None, "P1")], "src string, dst string")
+    seeds = spark.createDataFrame([(f"P{i}",) for i in range(150)], "seed string")
+    among = spark.createDataFrame([(f"P{i}", i % 3) for i in range(0, 150, 2)] + [("P4", 5)], "node string, weight long")
+    c = G.closure(edges.dropna(), seeds).filter("seed <> node")
+    want = lambda df, n: {tuple(r) for r in df.groupBy("seed").agg(n, F.max("depth")).collect()}
+    assert {tuple(r) for r in G.reach_counts(edges, seeds, words=1).collect()} == want(c, F.count("*"))
+    weighted = c.join(among.groupBy("node").agg(F.sum("weight").alias("w")).filter("w > 0"), "node")
+    assert {tuple(r) for r in G.reach_counts(edges, seeds, among, 1).collect()} == want(weighted, F.sum("w"))
+
+
+def test_failure_closure_writes_no_rounds_of_nodes(spark, monkeypatch):
+    """A component that fits a task is walked there: nothing is written for each round."""
+    monkeypatch.setattr(G, "_reach_by_rounds", None)
+    before, made = G.Rounds, []
+    monkeypatch.setattr(G, "Rounds", lambda first: made.append(first) or before(first))
+    assert catalog.QUERIES["failure_closure"](spark, SF).count() > 0
+    assert not made
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_reach_of_block_in_pieces(chunk):
+    """Rows of a round are taken in pieces that end between two heads."""
+    rnd = random.Random(chunk)
+    edges = {(rnd.randrange(0, 200), rnd.randrange(0, 200)) for _ in range(500)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    want = set()
+    for seed in range(0, 200, 2):
+        depth, ring, far = {seed: 0}, [seed], 0
+        while ring:
+            ring = sorted({b for a in ring for b in out.get(a, ())} - depth.keys())
+            far += bool(ring)
+            depth |= dict.fromkeys(ring, far)
+        if far:
+            want.add((seed, len(depth) - 1, far))
+    rows = [(0, a, b, 0) for a, b in edges] + [(1, s, s, 0) for s in range(0, 200, 2)]
+    got = G._reach_of_block(False, 200, chunk)(pd.DataFrame(rows, columns=["kind", "src", "dst", "weight"]))
+    assert set(got.itertuples(index=False, name=None)) == want
+
+
 @pytest.mark.parametrize("degree", [1, 6])
 def test_reach_sizes_as_closure(spark, degree):
     """Two plants of cycles, chains into and out of them, and seeds that are no nodes; grouped by some edges or by all."""
