@@ -211,18 +211,18 @@ def _renamed(df: DataFrame, column: str, groups: DataFrame) -> DataFrame:
     return df.join(g, df[column] == g["_node"], "left").withColumn(column, F.coalesce("_group", column)).drop("_node", "_group")
 
 
-def reach_sizes(edges: DataFrame, seeds: DataFrame, among: DataFrame, few: int = 256, degree: int = 6) -> DataFrame:
+def reach_sizes(edges: DataFrame, seeds: DataFrame, among: DataFrame, few: int = 256, degree: int = 6, small: int = WHOLE) -> DataFrame:
     """seed, n: how many of `among` (column node) each seed (column seed) reaches, itself left out; seeds that reach none drop
     out. As `reach_counts` without deepest, for graphs whose nodes mostly reach each other.
 
-    Groups of nodes that reach each other become one node, as long as that takes away half of the edges and more than `few` seeds
-    are left. A dense graph is grouped by some `degree` edges a node first; every edge that groups do not hold stays in.
+    Groups of nodes that reach each other become one node, as long as that takes away half of the edges and more than `small`
+    edges and `few` seeds are left. A dense graph is grouped by some `degree` edges a node first; every edge that groups do not hold stays in.
     """
     e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     s = cut(seeds.select("seed").filter("seed IS NOT NULL").distinct().withColumn("node", F.col("seed")))
     size = cut(among.select("node").filter("node IS NOT NULL").distinct().withColumn("own", F.col("node")))
     n = e.count()
-    while s.select("node").distinct().count() > few:
+    while n > small and s.select("node").distinct().count() > few:
         nodes = e.agg(F.approx_count_distinct("src")).first()[0]
         part = cut(e.filter(F.pmod(F.xxhash64("src", "dst"), F.lit(n)) < degree * nodes)) if n > 2 * degree * nodes else e
         groups = cut(mutual_groups(part, s.select("node")))

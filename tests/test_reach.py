@@ -97,7 +97,7 @@ def test_reach_sizes_as_closure(spark, degree):
     c = G.closure(edges.dropna(), seeds).filter("seed <> node").join(among.distinct(), "node", "left_semi")
     want = {tuple(r) for r in c.groupBy("seed").count().collect()}
     for few in (0, 20, 256):
-        assert {tuple(r) for r in G.reach_sizes(edges, seeds, among, few, degree).collect()} == want
+        assert {tuple(r) for r in G.reach_sizes(edges, seeds, among, few, degree, 0).collect()} == want
 
 
 def test_mutual_groups_reach_each_other(spark):
@@ -112,13 +112,14 @@ def test_mutual_groups_reach_each_other(spark):
 
 def test_candidate_brief_groups_what_reaches_each_other(spark, monkeypatch):
     """The rows of reach are of groups, not of nodes: on a cycle of 600 alarms one seed is left."""
-    left, counts = [], G.reach_counts
+    left, counts, sizes = [], G.reach_counts, G.reach_sizes
 
     def noted(edges, seeds, *more):
         left.append((edges.count(), seeds.distinct().count()))
         return counts(edges, seeds, *more)
 
     monkeypatch.setattr(G, "reach_counts", noted)
+    monkeypatch.setattr(G, "reach_sizes", lambda *tables: sizes(*tables, small=0))
     rnd = random.Random(6)
     rows = [(i, (i + 1) % 600) for i in range(600)] + [(rnd.randrange(600), rnd.randrange(600)) for _ in range(3000)]
     active = spark.createDataFrame([(i, float(i)) for i in range(600)], "node long, t double")
